@@ -3,15 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't have it on their path; once a context."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    where = tempfile.mkdtemp(prefix="textlode-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{where}/{root.name}", "zip", root.parent, root.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
