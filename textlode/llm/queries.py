@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import canonical, mixing, packing, splitting, tokens
+from textlode.llm import canonical, mixing, neighbours, packing, splitting, tokens
 from textlode.session import stage, table
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 4 most similar chunks of its collection for every usable chunk."""
+    return neighbours.top_similar(table(spark, sf_dir, "langchain_pg_embedding"), "uuid", "collection_id", "embedding")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of which one is among the other's neighbours."""
+    near = p1_neighbours(spark, sf_dir)
+    return near.select(F.least("id", "neighbour").alias("uuid_a"), F.greatest("id", "neighbour").alias("uuid_b")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of records and of digests that differ in formatting only."""
     records = canonical.same_but_for_formatting(table(spark, sf_dir, "document_model"), "record_id", "page_content")
@@ -79,6 +90,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p4_digests": p4_digests,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
