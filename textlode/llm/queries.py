@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import canonical, mixing, neighbours, packing, splitting, tokens
+from textlode.llm import canonical, mixing, neardup, neighbours, packing, splitting, tokens
 from textlode.session import stage, table
 
 
@@ -57,6 +57,23 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "document_model"), "record_id", "page_content")
 
 
+#: How TESTDATA.md defines a link between chunks.
+CHUNK_LINK = {"threshold": 0.6, "words": 3, "least_words": 12}
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every chunk that is linked to another."""
+    groups = neardup.near_duplicates(table(spark, sf_dir, "langchain_pg_embedding"), "uuid", "document", **CHUNK_LINK)
+    least = groups.groupBy("component").agg(F.min("uuid").alias("group_id"), F.count(F.lit(1)).alias("n_rows"))
+    return groups.join(least, "component").select("uuid", "group_id", "n_rows")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of chunks within a group."""
+    groups = neardup.near_duplicates(table(spark, sf_dir, "langchain_pg_embedding"), "uuid", "document", **CHUNK_LINK)
+    return neardup.pairs_of(stage(groups), "uuid")
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", extra=("source",)))
 
@@ -93,6 +110,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p4_digests": p4_digests,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
+    "p7_found": p7_found, "p7_groups": p7_groups,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
