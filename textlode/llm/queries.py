@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import canonical, mixing, neardup, neighbours, packing, splitting, tokens
+from textlode.llm import canonical, mixing, neardup, neighbours, packing, readability, splitting, tokens
 from textlode.session import stage, table
 
 
@@ -106,6 +106,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, targets, "doc_id", "source"), sizes, targets, "source")
 
 
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label")
+    return readability.reading_levels(documents, labels, "doc_id", "text", "reading_level")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and words of prose by level (null: no prose)."""
+    return p10_levels(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("n_words"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demanding documents: level 4 or 5."""
+    return p10_levels(spark, sf_dir).where("level >= 4").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p4_digests": p4_digests,
@@ -113,6 +129,7 @@ QUERIES = {
     "p7_found": p7_found, "p7_groups": p7_groups,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile,
 }
 
 SQL = {
