@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import canonical, mixing, neardup, neighbours, packing, readability, splitting, tokens
+from textlode.llm import canonical, encoding, mixing, neardup, neighbours, packing, readability, splitting, tokens
 from textlode.session import stage, table
 
 
@@ -20,6 +20,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("uuid_a"), F.greatest("id", "neighbour").alias("uuid_b")).distinct()
 
 
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled chunks: the chain they went through and their text put right."""
+    return encoding.garbled(table(spark, sf_dir, "langchain_pg_embedding"), "uuid", "document")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled chunks."""
+    return p3_restored(spark, sf_dir).select("uuid")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of records and of digests that differ in formatting only."""
     records = canonical.same_but_for_formatting(table(spark, sf_dir, "document_model"), "record_id", "page_content")
@@ -124,6 +134,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
+    "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p4_digests": p4_digests,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p7_found": p7_found, "p7_groups": p7_groups,
