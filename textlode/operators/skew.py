@@ -84,30 +84,29 @@ def rank_within(df: DataFrame, keys: list[str], order: str, row_id: str, buckets
     return inside.join(starts, same).select(*[inside[c] for c in df.columns], (F.col("_start") + F.col("_in")).alias(name))
 
 
-def attach_group_min(df: DataFrame, key: str, row_id: str) -> DataFrame:
-    """``df`` with ``kept`` (smallest ``row_id`` of the row's group) and ``copies`` (rows in it), for groups of two or
-    more; rows with a null key and single rows are left out.
+def attach_groups(df: DataFrame, key: str, spread: str, aggregates: dict[str, Column], keep: Column | str) -> DataFrame:
+    """``df`` with the ``aggregates`` of the row's group, for groups that fulfil ``keep`` (over the aggregates and ``_n``, the
+    number of rows); rows with a null key and those of other groups are left out.
 
-    The group sizes come from a map-side-combined aggregate. The ``HOT_KEYS`` largest groups - one row each,
-    so the broadcast is bounded - are attached without a shuffle of their rows; all others by a shuffled join.
+    The aggregates are combined on the map side. The ``HOT_KEYS`` largest groups - one row each, so the broadcast is
+    bounded - are attached without a shuffle of their rows; all others by a shuffled join. ``spread`` is a
+    column of many values by which rows of hot groups are scattered.
     """
     df = df.where(F.col(key).isNotNull())
-    groups = (
-        df.groupBy(F.col(key).alias("_k"))
-        .agg(F.min(row_id).alias("_kept"), F.count(F.lit(1)).alias("_copies"))
-        .where("_copies > 1")
-    )
-    hot = groups.orderBy(F.desc("_copies"), "_k").limit(HOT_KEYS).select(
-        F.col("_k").alias("_hk"), F.col("_kept").alias("_hkept"), F.col("_copies").alias("_hcopies")
-    )
+    names = list(aggregates)
+    groups = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in aggregates.items()]).where(keep)
+    groups = groups.select("_k", "_n", F.struct(*names).alias("_a"))
+    hot = groups.orderBy(F.desc("_n"), "_k").limit(HOT_KEYS).select(F.col("_k").alias("_hk"), F.col("_a").alias("_ha"))
     seen = df.join(F.broadcast(hot), df[key] == F.col("_hk"), "left")
     # rows of hot keys already have their result: they are scattered, and meet no row on the other side
-    salt = F.when(F.col("_hk").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(row_id), F.lit(1024))).cast("int")
+    salt = F.when(F.col("_hk").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1024))).cast("int")
     seen = seen.withColumn("_salt", salt)
-    right = groups.withColumn("_zero", F.lit(0))
+    right = groups.drop("_n").withColumn("_zero", F.lit(0))
     out = seen.join(right, (seen[key] == right["_k"]) & (seen["_salt"] == right["_zero"]), "left")
-    return out.select(
-        *[df[c] for c in df.columns],
-        F.coalesce("_hkept", "_kept").alias("kept"),
-        F.coalesce("_hcopies", "_copies").alias("copies"),
-    ).where(F.col("kept").isNotNull())
+    both = F.coalesce("_ha", "_a")
+    return out.where(both.isNotNull()).select(*[df[c] for c in df.columns], *[both[n].alias(n) for n in names])
+
+
+def attach_group_min(df: DataFrame, key: str, row_id: str) -> DataFrame:
+    """``df`` with ``kept`` (smallest ``row_id`` of the row's group) and ``copies`` (rows in it), for groups of two or more."""
+    return attach_groups(df, key, row_id, {"kept": F.min(row_id), "copies": F.count(F.lit(1))}, "copies > 1")
