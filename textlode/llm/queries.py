@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import canonical, encoding, mixing, neardup, neighbours, packing, readability, splitting, tokens
+from textlode.llm import canonical, encoding, mixing, neardup, neighbours, packing, readability, scans, splitting, tokens
 from textlode.session import stage, table
 
 
@@ -67,6 +67,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "document_model"), "record_id", "page_content")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and the kinds of scan traces on them."""
+    return scans.traces(table(spark, sf_dir, "document_model"), "record_id", "page_content", "metadata")
+
+
+def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paged files as continuous paragraphs without the traces."""
+    return scans.repaired(table(spark, sf_dir, "document_model"), "record_id", "page_content", "metadata")
+
+
 #: How TESTDATA.md defines a link between chunks.
 CHUNK_LINK = {"threshold": 0.6, "words": 3, "least_words": 12}
 
@@ -137,6 +147,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p4_digests": p4_digests,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
+    "p6_found": p6_found, "p6_paragraphs": p6_paragraphs,
     "p7_found": p7_found, "p7_groups": p7_groups,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
