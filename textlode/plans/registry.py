@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textlode.plans import keys
+from textlode.plans import keys, retrieval
 
-FLAGSHIP = "p2_found"
-QUERIES = {**keys.QUERIES}
-SQL = {**keys.SQL}
+FLAGSHIP = "topk_cosine"
+QUERIES = {**retrieval.QUERIES, **keys.QUERIES}
+SQL = {**retrieval.SQL, **keys.SQL}
