@@ -52,7 +52,10 @@ def detect_encoding(data: bytes) -> str:
 
         best = from_bytes(data[:HEAD]).best()
         if best is not None and best.encoding not in ("utf_8", "ascii"):
-            return best.encoding
+            high = [c for c in str(best) if c > "\x7f"]
+            # a few accented letters don't tell the Latin code pages apart: then the most common one
+            if len(high) >= 20 or any(c > "\u024f" for c in high):
+                return best.encoding
     except ImportError:
         pass
     return "cp1252"

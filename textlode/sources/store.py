@@ -18,6 +18,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textlode.functions.text import store_id
 from textlode.operators import lookup
@@ -64,8 +65,13 @@ class ChunkStore:
         part = f"data/{name}-{uuid.uuid4().hex}"
         out = df.withColumn("_bucket", self._bucket())
         out.repartition(self.buckets, "_bucket").sortWithinPartitions("_bucket", "file_id").write.partitionBy("_bucket").parquet(str(self.root / part))
+        (self.root / part / "_schema.json").write_text(out.schema.json())  # a part without rows has no files to tell
         return part
 
+    def _open(self, part: str) -> DataFrame:
+        schema = StructType.fromJson(json.loads((self.root / part / "_schema.json").read_text()))
+        return self.spark.read.schema(schema).parquet(str(self.root / part))
+
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version, the newest by default; None of an empty store."""
         parts = self._parts(self.version() if version is None else version)
@@ -73,7 +79,7 @@ class ChunkStore:
             return None
         out: DataFrame | None = None
         for part in parts:
-            df = self.spark.read.parquet(str(self.root / part))
+            df = self._open(part)
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out.drop("_bucket")
 
@@ -87,7 +93,7 @@ class ChunkStore:
         buckets = [r["b"] for r in hashed.collect()]
         out: DataFrame | None = None
         for part in parts:
-            df = self.spark.read.parquet(str(self.root / part)).where(F.col("_bucket").isin(buckets) & F.col("file_id").isin(ids))
+            df = self._open(part).where(F.col("_bucket").isin(buckets) & F.col("file_id").isin(ids))
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out.drop("_bucket")
 
@@ -106,7 +112,7 @@ class ChunkStore:
         if old is None:
             return self._publish([self._stage(new, "upsert")], base)
         new_part = self._stage(new, "upsert")
-        staged = self.spark.read.parquet(str(self.root / new_part)).drop("_bucket")
+        staged = self._open(new_part).drop("_bucket")
         replaced = old.join(staged.where("store_id IS NOT NULL").select("store_id"), "store_id", "left_semi")
         if replaced.isEmpty():  # nothing is replaced: the old files stay as they are
             return self._publish([*self._parts(base), new_part], base)
