@@ -147,7 +147,7 @@ def _bigrams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte bigrams of all tokens, and the token each belongs to."""
     data = [b" " + t.encode("utf-8", "replace") + b" " for t in tokens]
     flat = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(data)), [len(d) for d in data])
+    owner = np.repeat(np.arange(len(data)), np.array([len(d) for d in data], dtype=int))
     pair = (flat[:-1] << 8) | flat[1:]
     keep = (owner[:-1] == owner[1:]) & ((flat[:-1] >= 128) | (flat[1:] >= 128))  # bigrams of ASCII alone say nothing
     return ((pair * np.uint32(2654435761)) >> np.uint32(17))[keep], owner[:-1][keep]

@@ -148,8 +148,8 @@ def top_similar(df: DataFrame, row_id: str, group: str, vector: str, dims: int =
     """``(id, neighbour, similarity, rank)``: for every usable row the ``k`` other usable rows of its ``group`` with the highest cosine
     similarity (double, 6 places; ties to the smaller id).
 
-    Usable: a group, an id and exactly ``dims`` finite values, not all zero; other rows neither search nor are found. A row
-    of a group with fewer than ``k`` others gets as many as there are. Equal vectors are first reduced to their ``k + 1`` smallest ids -
+    Ids are strings. Usable: a group, an id and exactly ``dims`` finite values, not all zero; other rows neither search nor are found. A row
+    of a group with fewer than ``k`` others gets as many as there are; a repeated row (same id and vector) counts once. Equal vectors are first reduced to their ``k + 1`` smallest ids -
     larger ones can't be neighbours of anything - and each equal row is answered from those. Every usable row is indexed;
     only centres and codes are fitted on a sample. An empty table gives no rows.
     """
@@ -166,7 +166,7 @@ def top_similar(df: DataFrame, row_id: str, group: str, vector: str, dims: int =
     standing = rows
     if many:  # the group limit runs before the shuffle, so a hot vector sends a few rows a partition
         first = Window.partitionBy("h").orderBy("id")
-        some = rows.join(copies, "h", "left_semi").select("h", "id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+        some = rows.join(copies, "h", "left_semi").select("h", "id").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
         some = stage(some)
         standing = rows.join(copies, "h", "left_anti").unionByName(rows.join(some.select("h", "id"), ["h", "id"], "left_semi"), allowMissingColumns=False)
 
@@ -203,7 +203,7 @@ def top_similar(df: DataFrame, row_id: str, group: str, vector: str, dims: int =
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         _, book = shared.value
-        order = np.argsort(pdf["id"].to_numpy(), kind="stable")  # positions then order ties by id
+        order = np.unique(pdf["id"].to_numpy(), return_index=True)[1]  # a repeated row counts once; positions order ties by id
         ids, x = pdf["id"].to_numpy()[order], _unit(pdf["v"].to_numpy()[order])
         packed = np.frombuffer(b"".join(pdf["code"].to_numpy()[order]), dtype="u1").reshape(len(ids), -1)
         codes = np.empty((len(ids), packed.shape[1] * 2), dtype="u1")
@@ -225,7 +225,7 @@ def top_similar(df: DataFrame, row_id: str, group: str, vector: str, dims: int =
     if many:  # the other equal rows: what the last of those that stand for them found
         best = stage(best)
         last = some.groupBy("h").agg(F.max("id").alias("last"))
-        rest = rows.join(copies, "h", "left_semi").join(some.select("h", "id"), ["h", "id"], "left_anti").select("h", "id")
+        rest = rows.join(copies, "h", "left_semi").join(some.select("h", "id"), ["h", "id"], "left_anti").select("h", "id").distinct()
         rest = rest.join(last.join(best, F.col("last") == best["id"]).select("h", "z"), "h").select("id", "z")
         best = best.unionByName(rest)
     out = best.select("id", F.posexplode("z").alias("rank", "z"))
