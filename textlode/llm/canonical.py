@@ -24,13 +24,24 @@ from textlode.session import stage
 _OTHER = re.compile(r"[\W_]+")
 
 
+#: Letters whose upper case is that of other letters. Fixed values.
+_SAME_CASE = [("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")]
+
+
 def letters_digits(c: Column) -> Column:
-    """The letters and digits of ``c`` in order, case folded (upper-casing first joins letters such as sharp s)."""
-    return F.regexp_replace(F.lower(F.upper(c)), r"[^\p{L}\p{N}]+", "")
+    """The letters and digits of ``c`` in order, case folded."""
+    c = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    for a, b in _SAME_CASE:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
 def _leaf(text: str) -> str:
-    return _OTHER.sub("", text.upper().lower())
+    text = _OTHER.sub("", text.lower())
+    if not text.isascii():
+        for a, b in _SAME_CASE:
+            text = text.replace(a, b)
+    return text
 
 
 def _node(kind: str, children: list[tuple[str, str]]) -> tuple[str, str]:
