@@ -72,3 +72,21 @@ def test_attach_groups_keeps_only_groups_asked_for(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 5), ("b", 4, 5)], "key string, id int, page int")
     out = attach_groups(df, "key", "id", {"lo": F.min("page"), "hi": F.max("page")}, "lo < hi")
     assert {r["id"] for r in out.collect()} == {1, 2}
+
+
+def test_join_to_one_hot_and_cold(spark):
+    from textlode.operators.skew import join_to_one
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"c{i % 90}") for i in range(600)], "id long, key string")
+    right = spark.createDataFrame([("hot", 1, "x")] + [(f"c{i}", i, "y") for i in range(60)] + [("unused", 5, "z")], "key string, value int, tag string")
+    for how in ("inner", "left"):
+        got = {(r["id"], r["value"], r["tag"]) for r in join_to_one(left, right, "key", how).collect()}
+        assert got == {(r["id"], r["value"], r["tag"]) for r in left.join(right, "key", how).collect()}
+
+
+def test_rank_by_id_alone(spark):
+    df = spark.createDataFrame([(i * 7 % 1000, i % 3) for i in range(1000)], "row_seq long, page int")
+    got = {r["row_seq"]: r["rank"] for r in rank_within(df, ["page"], None, "row_seq", 64).collect()}
+    for p in range(3):
+        mine = sorted(i * 7 % 1000 for i in range(1000) if i % 3 == p)
+        assert [got[i] for i in mine] == list(range(len(mine)))

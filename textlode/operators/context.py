@@ -32,15 +32,23 @@ def ordered(df: DataFrame, file_id: str = "custom_id", received: str = "uuid", m
     return rows.withColumn("place", F.when(F.col("_trusted"), F.col("_index"))).drop("_index", "_trusted")
 
 
-def order_columns(received: str = "uuid") -> list[Column]:
-    return [F.col("marked"), F.col("started"), F.col("attempt"), F.col("place").asc_nulls_first(), F.col(received)]
-
-
 def positions(df: DataFrame, file_id: str = "custom_id", received: str = "uuid", metadata: str = "cmetadata") -> DataFrame:
-    """``df`` with each chunk's 0-based ``position`` in its file; rows without a file are left out."""
+    """``df`` with each chunk's 0-based ``position`` in its file; rows without a file are left out.
+
+    A file may own any share of the rows: its chunks are counted by attempt (those without one by the beginning of ``received``, if that is
+    text), running sums over the counts give where each part begins, and only the rows of a part are sorted together.
+    """
     rows = ordered(df.where(F.col(file_id).isNotNull()), file_id, received, metadata)
-    place = F.row_number().over(Window.partitionBy(file_id).orderBy(*order_columns(received))) - 1
-    return rows.withColumn("position", place).drop("marked", "started", "attempt", "place")
+    text = dict(df.dtypes)[received] == "string"
+    block = F.when(F.col("marked") | F.lit(not text), "").otherwise(F.coalesce(F.substring(received, 1, 2), F.lit("")))
+    rows = rows.withColumn("_s", F.coalesce("started", F.lit(-1))).withColumn("_a", F.coalesce("attempt", F.lit(""))).withColumn("_b", block)
+    parts = [file_id, "marked", "_s", "_a", "_b"]
+    counts = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(file_id).orderBy(*parts[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col("place").asc_nulls_first(), received)) - 1
+    out = rows.withColumn("_in", inside).join(starts, parts)
+    return out.select(*df.columns, (F.col("_start") + F.col("_in")).alias("position"))
 
 
 def assemble(df: DataFrame, file_id: str = "custom_id", received: str = "uuid", metadata: str = "cmetadata", text: str = "document", overlap: int = CHUNK_OVERLAP) -> DataFrame:

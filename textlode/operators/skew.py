@@ -64,18 +64,22 @@ def key_profile(df: DataFrame, key: str, digest: str, number: str) -> DataFrame:
     )
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, row_id: str, buckets: int = 256, name: str = "rank") -> DataFrame:
-    """``df`` with the 0-based position of each row under its ``keys``, by ``order`` (nulls last) and ``row_id``.
+def rank_within(df: DataFrame, keys: list[str], order: str | None, row_id: str, buckets: int = 256, name: str = "rank") -> DataFrame:
+    """``df`` with the 0-based position of each row under its ``keys``, by ``order`` (nulls last; None: by id alone) and ``row_id``.
 
     The rows of a key are counted by (key, order, block of ``row_id``); running sums over those counts give
     where each block begins, and only the rows of one block - at most ``buckets`` consecutive integer ids, if ids are
     unique - are ever sorted together. ``row_id`` is a whole number; rows with a null key get a rank as one key.
     """
     block = F.floor(F.col(row_id) / F.lit(buckets)).alias("_block")
-    rows = df.withColumn("_block", block).withColumn("_null", F.col(order).isNull())
-    parts = [*keys, "_null", order, "_block"]
+    rows = df.withColumn("_block", block)
+    sorting = ["_block"]
+    if order is not None:
+        rows = rows.withColumn("_null", F.col(order).isNull())
+        sorting = ["_null", order, "_block"]
+    parts = [*keys, *sorting]
     counts = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_null", order, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*sorting).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     inside = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*parts).orderBy(row_id)) - 1)
     same: Column = F.lit(True)
@@ -84,6 +88,26 @@ def rank_within(df: DataFrame, keys: list[str], order: str, row_id: str, buckets
     return inside.join(starts, same).select(*[inside[c] for c in df.columns], (F.col("_start") + F.col("_in")).alias(name))
 
 
+def join_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has at most one row a ``key``; a few keys may own most rows of ``left``.
+
+    The ``HOT_KEYS`` commonest keys of ``left`` get their row of ``right`` by a broadcast of that many rows; the rows of all
+    others meet theirs in a shuffle. ``how`` is inner or left. The right side's other columns come last, under names ``left`` must not have.
+    """
+    names = [c for c in right.columns if c != key]
+    hot = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_hk").limit(HOT_KEYS)
+    packed = right.select(F.col(key).alias("_k"), F.struct(*names).alias("_r"))
+    hot = hot.join(packed, F.col("_hk") == F.col("_k"), "left").select("_hk", F.col("_r").alias("_hr"), F.lit(True).alias("_hot"))
+    seen = left.join(F.broadcast(hot), left[key] == F.col("_hk"), "left")
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(1024)) if all(t not in ("map", "variant") for _, t in left.dtypes) else F.lit(0)
+    seen = seen.withColumn("_salt", F.when(F.col("_hot"), 1 + spread).otherwise(0).cast("int"))
+    cold = packed.withColumn("_zero", F.lit(0))
+    out = seen.join(cold, (seen[key] == cold["_k"]) & (seen["_salt"] == cold["_zero"]), "left")
+    both = F.coalesce("_hr", "_r")
+    out = out if how == "left" else out.where(both.isNotNull())
+    return out.select(*[left[c] for c in left.columns], *[both[n].alias(n) for n in names])
+
+
 def attach_groups(df: DataFrame, key: str, spread: str, aggregates: dict[str, Column], keep: Column | str) -> DataFrame:
     """``df`` with the ``aggregates`` of the row's group, for groups that fulfil ``keep`` (over the aggregates and ``_n``, the
     number of rows); rows with a null key and those of other groups are left out.

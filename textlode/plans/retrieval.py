@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from textlode.functions.text import basename, clean_text, digest, store_id, stri
 from textlode.functions.vectors import usable
 from textlode.operators import chunking, context, filters, lookup, search
 from textlode.plans.ingest import HashingEmbedder, embed
-from textlode.sources import formats, store
-from textlode.session import table
+from textlode.sources import formats, loaders, store
+from textlode.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -304,6 +306,26 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest_by_store_id(rows)
 
 
+@_query(f"SELECT uuid FROM langchain_pg_embedding WHERE custom_id IS NOT NULL AND custom_id <> '{LARGE_FILE}' AND NOT coalesce(cmetadata::JSON->>'$.user_id' = 'public' AND collection_id = {_ARCHIVE}, false)")
+def store_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a chunk store holds after all chunks were stored, a file was deleted, and then chunks by metadata."""
+    kept = store.ChunkStore(spark, f"{shared_dir(spark).removeprefix('file://')}/store-{uuid4().hex}", buckets=8)
+    rows = _chunks(spark, sf_dir).where("custom_id IS NOT NULL").select("uuid", F.col("custom_id").alias("file_id"), "collection_id", "cmetadata")
+    kept.append(rows)
+    kept.delete_by_ids([LARGE_FILE])
+    named = table(spark, sf_dir, "langchain_pg_collection").where("name = 'testcollection'").first()
+    kept.delete_by_metadata({"user_id": "public"}, named["uuid"] if named else "")
+    return kept.read().select("uuid")
+
+
+@_query(f"SELECT uuid, document FROM langchain_pg_embedding WHERE custom_id = '{LARGE_FILE}'")
+def store_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's chunks from a store: one bucket is read."""
+    kept = store.ChunkStore(spark, f"{shared_dir(spark).removeprefix('file://')}/store-{uuid4().hex}", buckets=8)
+    kept.append(_chunks(spark, sf_dir).where("custom_id IS NOT NULL").select("uuid", F.col("custom_id").alias("file_id"), "document"))
+    return kept.of_files([LARGE_FILE]).select("uuid", "document")
+
+
 # ---------------------------------------------------------------- requests
 
 _RULES = " ".join(
@@ -332,6 +354,32 @@ def requests_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_requests"), F.max("requested_at").alias("last_requested"), F.count_if(late).alias("n_late"))
 
 
+@_query("SELECT date_trunc('day', requested_at) AS day, count(*) AS n_requests FROM (SELECT DISTINCT * FROM store_document) WHERE requested_at IS NOT NULL GROUP BY 1")
+def stream_requests_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct requests by day, counted by a stream over the table's files."""
+    path = Path(f"{sf_dir}/store_document.parquet")
+    schema = table(spark, sf_dir, "store_document").schema
+    folder, pattern = (path, "*.parquet") if path.is_dir() else (path.parent, path.name)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(str(folder))
+    once = stream.where("requested_at IS NOT NULL").dropDuplicates()
+    days = once.groupBy(F.date_trunc("day", "requested_at").alias("day")).agg(F.count(F.lit(1)).alias("n_requests"))
+    out = f"{shared_dir(spark)}/days-{uuid4().hex}"
+    sink = days.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out))
+    sink.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@_query("""
+    SELECT record_id, md5(replace(page_content, chr(13) || chr(10), chr(10))) AS digest FROM document_model
+    WHERE page_content IS NOT NULL AND regexp_matches(lower(metadata::JSON->>'$.source'), '\\.(txt|json|log)$')""")
+def load_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of text files, read by their loader from bytes."""
+    source = F.get_json_object("metadata", "$.source")
+    rows = table(spark, sf_dir, "document_model").where(F.col("page_content").isNotNull() & F.lower(source).rlike(r"\.(txt|json|log)$"))
+    files = rows.select(F.col("record_id").cast("string").alias("file_id"), basename(source).alias("filename"), F.lit(None).cast("string").alias("file_content_type"), source.alias("path"), F.encode("page_content", "UTF-8").alias("content"))
+    return loaders.load(files).select(F.col("file_id").cast("long").alias("record_id"), digest(F.col("page_content")).alias("digest"))
+
+
 # ---------------------------------------------------------------- chunking and context
 
 
