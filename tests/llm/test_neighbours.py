@@ -92,3 +92,16 @@ def test_anisotropic_codes_keep_inner_products_better():
 def test_dims_must_fit():
     with pytest.raises(ValueError):
         neighbours.top_similar(type("D", (), {"sparkSession": None})(), "a", "b", "c", dims=6)
+
+
+def test_two_levels_of_centres(spark, monkeypatch):
+    x = clustered(2000, 16, 5)
+    rows = [(f"u{i:05d}", "c", [float(a) for a in v], 1, "", 1) for i, v in enumerate(x)]
+    monkeypatch.setattr(neighbours, "MOST_CENTRES", 8)
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    df = spark.createDataFrame(rows, SCHEMA)
+    centres, _ = neighbours._fit(neighbours.usable(df, "uuid", "collection_id", "embedding", 16), 16)
+    assert len(centres["c"][0]) == 8 and 1 < len(centres["c"][1]) <= 8
+    got, want = found(spark, rows, dims=16), brute(rows, 4, 16)
+    hits = sum(len({n for n, _ in got[u]} & {n for n, _ in want[u]}) for u in want) / sum(map(len, want.values()))
+    assert hits >= 0.9 and set(got) == set(want)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlode.llm.components import components
-from textlode.operators.skew import attach_group_min
+from textlode.operators.skew import attach_group_min, join_to_one
 from textlode.session import stage
 
 _OTHER = re.compile(r"[\W_]+")
@@ -136,7 +136,7 @@ def same_but_for_formatting(df: DataFrame, row_id: str, text: str) -> DataFrame:
     by_plain = keys.where("s IS NOT NULL").groupBy("p").agg(F.min("s").alias("s_min"), F.max("s").alias("s_max"))
     by_plain = stage(by_plain)
     merged = by_plain.where("s_min <> s_max")
-    roots = keys.join(by_plain.select("p", "s_min"), "p", "left").withColumn("root", F.coalesce("s", "s_min", "p"))
+    roots = join_to_one(keys, by_plain.select("p", "s_min"), "p", "left").withColumn("root", F.coalesce("s", "s_min", "p"))
     if not merged.isEmpty():  # letters and digits alone tie several structures together
         edges = keys.join(merged.select("p", "s_min"), "p").where("s <> s_min").select(
             F.hex("s").alias("a"), F.hex("s_min").alias("b")
@@ -157,9 +157,9 @@ def confirmed(groups: DataFrame, forms: DataFrame) -> DataFrame:
     """
     own = groups.join(forms.select("i", "plain", "form"), "i")
     kept = forms.join(groups.select(F.col("kept").alias("i")).distinct(), "i").select(
-        F.col("i").alias("k"), F.col("p").alias("kp"), F.col("s").alias("ks"), F.col("plain").alias("kplain"), F.col("form").alias("kform")
+        F.col("i").alias("kept"), F.col("p").alias("kp"), F.col("s").alias("ks"), F.col("plain").alias("kplain"), F.col("form").alias("kform")
     )
-    compared = own.join(kept, own["kept"] == kept["k"]).select(
+    compared = join_to_one(own, kept, "kept").select(
         "i", "root", "kept", "copies",
         (((F.col("p") == F.col("kp")) & (F.col("plain") != F.col("kplain")))
          | (F.coalesce(F.col("s") == F.col("ks"), F.lit(False)) & (F.col("form") != F.col("kform")))).alias("differs"),

@@ -23,7 +23,8 @@ from textlode.session import stage
 
 #: Rows of the whole table used to fit centres and codes; the bound is the same at any size.
 SAMPLE = 60_000
-#: Aimed-at rows nearest to one centre, and the most centres a collection gets from the bounded sample.
+#: Aimed-at rows nearest to one centre, and the most centres a collection gets from the bounded sample. Larger collections get a second
+#: level: cells are then pairs of a centre and one of up to ``MOST_CENTRES`` centres of what remains of the vectors.
 CELL, MOST_CENTRES = 64, 4096
 SUB, CENTRES = 2, 16  # dimensions a subspace and its centres: four bits
 ETA = 4.0
@@ -59,6 +60,34 @@ def fit_centres(x: np.ndarray, n: int, seed: int = 7, rounds: int = 8) -> np.nda
     return centres
 
 
+def fit_residuals(x: np.ndarray, centres: np.ndarray, n: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
+    """k-means of what remains of the vectors after their nearest centre."""
+    rest = x - centres[(x @ centres.T).argmax(1)]
+    rng = np.random.default_rng(seed)
+    out = rest[rng.choice(len(rest), n, replace=False)].copy()
+    for _ in range(rounds):
+        near = (2 * rest @ out.T - (out * out).sum(1)).argmax(1)
+        sums = np.zeros_like(out)
+        np.add.at(sums, near, rest)
+        counts = np.bincount(near, minlength=n)[:, None]
+        out = np.where(counts > 0, sums / np.maximum(counts, 1), rest[rng.choice(len(rest), n)]).astype(x.dtype)
+    return out
+
+
+def nearest_cells(x: np.ndarray, centres: tuple[np.ndarray, np.ndarray | None], spill: int) -> np.ndarray:
+    """The ``spill`` nearest cells of each row."""
+    first, finer = centres
+    p = min(spill, len(first))
+    near = np.argpartition(-(x @ first.T), p - 1, axis=1)[:, :p]
+    if finer is None:
+        return near
+    rest = x[:, None, :] - first[near]
+    dist = (finer * finer).sum(1) - 2 * rest @ finer.T + (rest * rest).sum(2)[:, :, None]
+    flat = dist.reshape(len(x), -1)
+    best = np.argpartition(flat, min(spill, flat.shape[1]) - 1, axis=1)[:, :spill]
+    return np.take_along_axis(near, best // len(finer), 1) * len(finer) + best % len(finer)
+
+
 def anisotropic_codes(x: np.ndarray, book: np.ndarray, eta: float = ETA, sweeps: int = 2) -> np.ndarray:
     """Codes (rows x subspaces) that lower ``|r|^2 + (eta-1) (r.x)^2`` for the residual r, by coordinate descent."""
     n, d = x.shape
@@ -105,7 +134,7 @@ def fit_book(x: np.ndarray, eta: float = ETA, rounds: int = 5, seed: int = 7) ->
 
 
 def _fit(rows: DataFrame, dims: int) -> tuple[dict, np.ndarray]:
-    """Centres by group and the code book, from at most ``SAMPLE`` rows and an eighth."""
+    """Centres by group and the code book, from at most ``SAMPLE`` rows and an eighth; both are of bounded size."""
     total = rows.count()
     sample = rows.select("grp", "v", F.xxhash64("id", "grp").alias("_h"))
     if total > SAMPLE:  # a slice of the hashed ids
@@ -116,9 +145,13 @@ def _fit(rows: DataFrame, dims: int) -> tuple[dict, np.ndarray]:
     centres = {}
     for grp, at in pdf.groupby("grp", sort=False).indices.items():
         mine = pdf["v"].to_numpy()[at]
-        cells = int(min(max(1, len(mine) * (total / len(pdf)) // CELL), MOST_CENTRES, max(1, len(mine) // 4)))
+        wanted = int(max(1, len(mine) * (total / len(pdf)) // CELL))
+        cells = min(wanted, MOST_CENTRES, max(1, len(mine) // 4))
         if cells > 1:
-            centres[grp] = fit_centres(_unit(mine).astype("f4"), cells)
+            x = _unit(mine).astype("f4")
+            first = fit_centres(x, cells)
+            finer = min(-(-wanted // cells), MOST_CENTRES, len(mine) // 16)
+            centres[grp] = (first, fit_residuals(x, first, finer) if finer > 1 else None)
     part = pdf["v"].sample(min(len(pdf), 8000), random_state=3)
     return centres, fit_book(_unit(part.to_numpy()))
 
@@ -182,10 +215,8 @@ def top_similar(df: DataFrame, row_id: str, group: str, vector: str, dims: int =
             for grp, at in batch.groupby("grp", sort=False).indices.items():
                 if grp not in centres:
                     continue
-                c, p = centres[grp], min(spill, len(centres[grp]))
-                for i in range(0, len(at), 4096):
-                    near = np.argpartition(-(x[at[i : i + 4096]].astype("f4") @ c.T), p - 1, axis=1)[:, :p]
-                    for r, n in zip(at[i : i + 4096], near):
+                for i in range(0, len(at), 1024):
+                    for r, n in zip(at[i : i + 1024], nearest_cells(x[at[i : i + 1024]].astype("f4"), centres[grp], spill)):
                         cells[r] = n
             yield pd.DataFrame({"grp": batch["grp"], "id": batch["id"], "v": batch["v"], "code": [r.tobytes() for r in packed], "cells": cells})
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from textlode.operators.skew import rank_within
 
+#: Consecutive ids whose items of one length are ranked together.
+RANK_BLOCK = 4096
+
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
     """Best-fit decreasing over counts: ``(length, first rank, first container, items a container)`` runs, by length
@@ -87,7 +90,7 @@ def pack(df: DataFrame, row_id: str, tokens: str, capacities: dict[str, int]) ->
         runs = sorted(plan({r["n_tokens"]: r["count"] for r in counts if r["container_name"] == name}, capacity))
         plans[name] = tuple(np.array([r[k] for r in runs], dtype="i8") for k in range(4))
     shared = spark.sparkContext.broadcast(plans)
-    ranked = rank_within(items, ["container_name", "n_tokens"], "_id", "_id", name="_rank")
+    ranked = rank_within(items, ["container_name", "n_tokens"], None, "_id", RANK_BLOCK, "_rank")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans = shared.value

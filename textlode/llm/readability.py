@@ -25,6 +25,8 @@ SLOTS = 1 << 18
 #: Labelled documents that anchor the scale are at most so many (by hash of the id, if there are more).
 LABELS = 50_000
 SPREAD, ROUNDS, LEVELS = 0.5, 4, 5
+LENGTH_SHARE = 4  # a sentence's length class counts as one of so many of its words
+UNLABELLED = 0.02  # what an estimated level counts as a witness, beside a label
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
@@ -83,7 +85,7 @@ def items_of(text: str, slots: dict) -> tuple[list[int], list[int], int]:
     for words in prose_sentences(text):
         counts.update(words)
         total += len(words)
-        counts[f"#{min(int(4 * np.log2(len(words))), 28)}"] += max(1, len(words) // 4)
+        counts[f"#{min(int(4 * np.log2(len(words))), 28)}"] += max(1, len(words) // LENGTH_SHARE)
     merged: Counter = Counter()
     for item, n in counts.items():
         merged[slots[item]] += n
@@ -125,23 +127,46 @@ def features(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return df.select(row_id, F.col(text).alias("_t")).mapInPandas(run, f"`{row_id}` {kind}, slots array<int>, n array<int>, n_words int")
 
 
+def _calibration(rows: DataFrame, model: object) -> tuple[float, float]:
+    """The line that takes estimated levels to the labels', over all labelled rows: estimates lean towards the middle, and without it each round
+    would draw the levels further together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        difficulty, weight, _ = model.value
+        for batch in batches:
+            if len(batch):
+                x, y = _levels(*_flat(batch), difficulty, weight), batch["label"].to_numpy("f8")
+                x, y = x[~np.isnan(x)], y[~np.isnan(x)]
+                yield pd.DataFrame({"n": [float(len(x))], "x": [x.sum()], "y": [y.sum()], "xx": [x @ x], "xy": [x @ y]})
+
+    sums = rows.where("label IS NOT NULL").select("slots", "n", "label").mapInPandas(run, "n double, x double, y double, xx double, xy double")
+    n, x, y, xx, xy = (v or 0.0 for v in sums.agg(*[F.sum(c) for c in ("n", "x", "y", "xx", "xy")]).first())
+    var = xx - x * x / n if n else 0.0
+    slope = (xy - x * y / n) / var if var > 1e-9 else 1.0
+    slope = slope if slope > 0.1 else 1.0
+    return ((y - slope * x) / n if n else 0.0), slope
+
+
 def _item_sums(rows: DataFrame, model: object, anchored_only: bool) -> DataFrame:
     """By slot: weight, level, squared level, and the score of the items' equation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        difficulty, weight = model.value
+        difficulty, weight, (shift, slope) = model.value
         sums = np.zeros((5, SLOTS))
         for batch in batches:
             if not len(batch):
                 continue
             starts, slots, n = _flat(batch)
             level = batch["label"].to_numpy("f8")
+            witness = np.where(np.isnan(level), UNLABELLED, 1.0)
             if not anchored_only:
-                level = np.where(np.isnan(level), _levels(starts, slots, n, difficulty, weight), level)
-            each = np.repeat(level, np.diff(np.append(starts, len(slots))))
+                guess = np.clip(shift + slope * _levels(starts, slots, n, difficulty, weight), 0.5, LEVELS + 0.5)
+                level = np.where(np.isnan(level), guess, level)
+            rows_ = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slots))))
+            each = level[rows_]
             fine = ~np.isnan(each)
             # a long document is one witness, not hundreds
-            s, v, w = slots[fine], each[fine], np.sqrt(n[fine])
+            s, v, w = slots[fine], each[fine], np.sqrt(n[fine]) * witness[rows_][fine]
             d = difficulty[s]
             p = 1 / (1 + np.exp(-(v - np.where(np.isnan(d), v, d)) / SPREAD))
             for k, x in enumerate((w, w * v, w * v * v, w * (p - 0.5), w * p * (1 - p) / SPREAD)):
@@ -159,7 +184,12 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     context = rows.sparkSession.sparkContext
     difficulty, weight = np.full(SLOTS, np.nan), np.zeros(SLOTS)
     for k in range(ROUNDS + 1):
-        shared = context.broadcast((difficulty, weight))
+        line = (0.0, 1.0)
+        if k:
+            before = context.broadcast((difficulty, weight, line))
+            line = _calibration(rows, before)
+            before.unpersist()
+        shared = context.broadcast((difficulty, weight, line))
         sums = _item_sums(rows, shared, anchored_only=k == 0).toPandas()  # at most SLOTS rows
         at, w = sums["slot"].to_numpy(), sums["w"].to_numpy()
         mean = sums["wv"].to_numpy() / w
@@ -169,23 +199,28 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         difficulty, weight = np.full(SLOTS, np.nan), np.zeros(SLOTS)
         difficulty[at] = np.where(np.isnan(old), mean, old + step)
         # items whose documents lie far apart tell little; few witnesses are shrunk towards not telling
-        weight[at] = 1 / (0.15 + spread + 1.0 / w)
+        weight[at] = 1 / (0.15 + spread + 1.0 / w) ** 2
         shared.unpersist()
     return difficulty, weight
 
 
 def thresholds(levels: np.ndarray, labels: np.ndarray) -> list[float]:
-    """Where the levels pass from a label to the next: the cuts with the fewest misplaced labels, in ascending order."""
+    """Where the levels pass from a label to the next, in ascending order: of the cuts with about the fewest misplaced labels that in the
+    widest gap. Labels between the two - raters who differ - don't count."""
     cuts: list[float] = []
     order = np.argsort(levels)
-    x, y = levels[order], labels[order]
     for k in range(1, LEVELS):
-        above = y > k + 0.25  # raters who differ by one count as the lower level
-        wrong = np.concatenate([[(~above).sum()], (~above).sum() + np.cumsum(np.where(above, 1, -1))])
-        best = np.flatnonzero(wrong == wrong.min())
-        best = best[len(best) // 2]
-        edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]]) if len(x) else np.array([k + 0.5])
-        cuts.append(max(float(edges[best]) if len(x) else k + 0.5, cuts[-1] if cuts else -np.inf))
+        clear = np.abs(labels[order] - (k + 0.5)) > 0.3
+        x, above = levels[order][clear], labels[order][clear] > k + 0.5
+        if not len(x) or above.all() or not above.any():
+            cut = k + 0.5 if not len(x) else x[0] - 0.5 if above.all() else x[-1] + 0.5
+        else:
+            wrong = (~above).sum() + np.concatenate([[0], np.cumsum(np.where(above, 1, -1))])
+            edges = np.concatenate([[x[0] - 0.1], (x[1:] + x[:-1]) / 2, [x[-1] + 0.1]])
+            gaps = np.concatenate([[0.0], x[1:] - x[:-1], [0.0]])
+            near = wrong <= wrong.min() + len(x) // 250
+            cut = float(edges[np.where(near, gaps, -1.0).argmax()])
+        cuts.append(max(float(cut), cuts[-1] if cuts else -np.inf))
     return cuts
 
 
