@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Slices of the seeded order in which the cut for a fractional repetition is searched.
 SLICES = 4096
+#: A row is large for its source if it alone is more than one of so many parts of the amount to cut.
+LARGE = 4
 
 
 def water_fill(weights: dict[str, float], most: dict[str, float], total: float) -> dict[str, float]:
@@ -50,7 +52,8 @@ def mix(sizes: DataFrame, targets: DataFrame, row_id: str, source: str, total: f
     ``sizes`` has the rows with ``n_tokens``; ``targets`` the columns ``source``, ``target_share``, ``max_repeats``, one row
     for each source wanted (it is collected). ``total`` is the size of the mixture in tokens; without it, as many as the
     wanted sources hold. A source is used a whole number of times, and once more for as many rows, in an order
-    seeded by ``seed``, as come closest to its amount. No row is used more than ``max_repeats`` times. Rows of no or null
+    seeded by ``seed``, as come closest to its amount; rows that are large beside it are drawn first, so that smaller ones level it
+    out. No row is used more than ``max_repeats`` times. Rows of no or null
     source, of a source without a target, and rows without tokens are not used. Repeated ids are separate rows.
     """
     spark = sizes.sparkSession
@@ -61,6 +64,16 @@ def mix(sizes: DataFrame, targets: DataFrame, row_id: str, source: str, total: f
     used = used.where("n_tokens > 0").join(plan_df, "source")
     order = F.xxhash64(F.lit(seed), "_id")
     used = used.withColumn("_order", order).withColumn("_slice", F.pmod(F.shiftright("_order", 20), F.lit(SLICES)).cast("int"))
+    held = F.broadcast(spark.createDataFrame([(s, float((a - a // t * t) / t)) for s, _, _, t, a in plan if t > 0 and a > 0], "source string, chance double"))
+    is_large = F.col("n_tokens") * LARGE > F.col("part")
+    drawn = used.where(is_large).join(held, "source").where(F.pmod("_order", F.lit(1 << 30)) < F.col("chance") * (1 << 30))
+    # at most LARGE / chance rows a source can be large
+    drawn = drawn.withColumn("_end", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, 0)))
+    drawn = drawn.where("_end <= part").select("_id", "source", "n_tokens", "_order", F.lit(1).alias("_drawn"))
+    taken = drawn.groupBy("source").agg(F.sum("n_tokens").alias("_taken"))  # a row a source
+    large = used.where(is_large).join(drawn.select("_id", "_order", "_drawn").distinct(), ["_id", "_order"], "left")
+    large = large.select("_id", "source", "n_tokens", (F.col("whole") + F.coalesce("_drawn", F.lit(0))).alias("copies"))
+    used = used.where(~is_large).join(taken, "source", "left").withColumn("part", F.col("part") - F.coalesce("_taken", F.lit(0)))
     slices = used.groupBy("source", "_slice").agg(F.sum("n_tokens").alias("_sum"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))  # at most SLICES rows a source
@@ -72,7 +85,7 @@ def mix(sizes: DataFrame, targets: DataFrame, row_id: str, source: str, total: f
     cut = cut.withColumn("_more", (F.col("_end") - F.col("n_tokens") / 2 <= F.col("part")).cast("int"))
     clear = placed.where(~inside).withColumn("_more", (F.col("_before") + F.col("_sum") <= F.col("part")).cast("int"))
     columns = ["_id", "source", "n_tokens", (F.col("whole") + F.col("_more")).alias("copies")]
-    out = cut.select(*columns).union(clear.select(*columns)).where("copies > 0")
+    out = cut.select(*columns).union(clear.select(*columns)).union(large).where("copies > 0")
     return out.withColumnRenamed("_id", row_id)
 
 
