@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows with characters beyond ASCII that the classifier is fitted on (by hash of the id, if there are more).
-SAMPLE = 20_000
+#: Tokens that the classifier is fitted on at most: the commonest of all tokens with characters beyond ASCII.
+TOKENS = 50_000
 BUCKETS = 1 << 15
 #: (encoding of the bytes, encoding they were read with), applied from left to right. Fixed values.
 CHAINS: list[tuple[tuple[str, str], ...]] = [
@@ -239,12 +239,9 @@ def _train(clean: list[str], weights: np.ndarray) -> Model:
     return Model(np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype("f4"))
 
 
-def fit(texts: list[str], rounds: int = 2) -> Model:
-    """A model fitted on texts that are mostly correct. Tokens that a chain takes back to a much commoner token are not
-    taken for correct ones, nor, in the next round, are those that the model finds garbled."""
-    count: Counter = Counter()
-    for text in texts:
-        count.update(set(_TOKEN.findall(text)))
+def fit(count: dict[str, int], rounds: int = 2) -> Model:
+    """A model fitted on tokens, with the number of texts that have each, which are mostly correct. Tokens that a chain takes back to a much
+    commoner token are not taken for correct ones, nor, in the next round, are those that the model finds garbled."""
     words: Counter = Counter()
     core = re.compile(r"^\W+|\W+$")
     for token, n in count.items():
@@ -267,14 +264,27 @@ def fit(texts: list[str], rounds: int = 2) -> Model:
     return model
 
 
-def fit_sample(df: DataFrame, row_id: str, text: str) -> Model:
-    """The model of a bounded sample of the rows that have characters beyond ASCII."""
-    rows = df.select(F.col(row_id).alias("i"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]"))
-    total = rows.count()
-    if total > SAMPLE:
-        rows = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
-    # the longest text counts as far as it tells something new: a record's tokens are a set
-    return fit([r["t"] for r in rows.select("t").limit(SAMPLE + SAMPLE // 8).toLocalIterator()])
+def token_counts(df: DataFrame, text: str) -> DataFrame:
+    """``(token, n)``: the texts that have each token with characters beyond ASCII, over all rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count: Counter = Counter()
+        for batch in batches:
+            for body in batch["t"]:
+                count.update(set(_TOKEN.findall(body)))
+            if len(count) > 300_000:
+                yield pd.DataFrame({"token": list(count), "n": list(count.values())})
+                count = Counter()
+        yield pd.DataFrame({"token": list(count), "n": list(count.values())})
+
+    rows = df.select(F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]"))
+    return rows.mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def fit_table(df: DataFrame, text: str) -> Model:
+    """The model of the ``TOKENS`` commonest tokens of all rows."""
+    common = token_counts(df, text).orderBy(F.desc("n"), "token").limit(TOKENS)
+    return fit({r["token"]: r["n"] for r in common.collect()})
 
 
 def garbled(df: DataFrame, row_id: str, text: str, model: Model | None = None) -> DataFrame:
@@ -284,7 +294,7 @@ def garbled(df: DataFrame, row_id: str, text: str, model: Model | None = None) -
     the text with each token put right where that is possible. Null, empty and correct rows don't come out. Repeated rows come out each. A table
     without a garbled row gives none.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model or fit_sample(df, row_id, text))
+    shared = df.sparkSession.sparkContext.broadcast(model or fit_table(df, text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, known = shared.value, {}
