@@ -154,7 +154,44 @@ QUERIES = {
     "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile,
 }
 
+
+def _norm(x: str) -> str:
+    """SQL for the letters and digits of ``x``, case folded."""
+    return rf"replace(replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'ß', 'ss'), 'ς', 'σ')"
+
+
 SQL = {
+    "p1_found": r"""
+        WITH u AS (
+            SELECT DISTINCT uuid, collection_id AS c, embedding::DOUBLE[] AS v FROM langchain_pg_embedding
+            WHERE collection_id IS NOT NULL AND uuid IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.uuid AS x, b.uuid AS y, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.c = b.c AND a.uuid <> b.uuid),
+        r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM s)
+        SELECT DISTINCT least(x, y) AS uuid_a, greatest(x, y) AS uuid_b FROM r WHERE k <= 4""",
+    "p4_found": rf"""
+        WITH RECURSIVE t AS (SELECT record_id AS id, page_content AS x, {_norm('page_content')} AS p FROM document_model),
+        j AS (SELECT id, unnest(json_keys(x::JSON)) AS k, x::JSON AS o FROM t WHERE p <> '' AND json_valid(x) AND json_type(x::JSON) = 'OBJECT'),
+        jf AS (SELECT id, list_sort(list({_norm('k')} || ':' || {_norm("coalesce(o->>('$.\"' || k || '\"'), '')")})) AS s FROM j GROUP BY id),
+        l AS (SELECT id, list_filter(string_split(replace(x, chr(13), chr(10)), chr(10)), lambda v: {_norm('v')} <> '') AS l FROM t WHERE p <> '' AND id NOT IN (SELECT id FROM jf)),
+        lf AS (SELECT id, list_sort(list_transform(l, lambda v: {_norm("string_split(v, ':')[1]")} || ':' || {_norm("substring(v, instr(v, ':') + 1)")})) AS s FROM l
+               WHERE len(l) >= 3 AND len(list_filter(l, lambda v: NOT regexp_matches(v, '^[ \t"''*-]*\p{{L}}[^:]*:'))) = 0
+                 AND len(list_distinct(list_transform(l, lambda v: {_norm("string_split(v, ':')[1]")}))) = len(l)),
+        f AS (SELECT t.id, t.p, coalesce(jf.s, lf.s) AS s FROM t LEFT JOIN jf USING (id) LEFT JOIN lf USING (id) WHERE t.p <> ''),
+        h AS (SELECT id, min(id) OVER (PARTITION BY p) AS a FROM f UNION SELECT id, min(id) OVER (PARTITION BY s) FROM f WHERE s IS NOT NULL),
+        e AS (SELECT id AS x, a AS y FROM h UNION SELECT a, id FROM h),
+        r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+        d AS (SELECT row_seq AS id, min(row_seq) OVER (PARTITION BY g) AS a FROM (SELECT row_seq, {_norm('digest')} AS g FROM atlas_mongo_vector) WHERE g <> '')
+        SELECT 'document_model' AS tab, min(y) AS kept_id, x AS copy_id FROM r GROUP BY x HAVING min(y) < x
+        UNION ALL SELECT 'atlas_mongo_vector', a, id FROM d WHERE a < id""",
+    "p7_found": r"""
+        WITH RECURSIVE w AS (SELECT uuid, regexp_extract_all(lower(document), '[\p{L}\p{N}]+') AS w FROM langchain_pg_embedding),
+        s AS (SELECT uuid, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS t FROM w WHERE len(w) >= 12),
+        n AS (SELECT uuid, count(*) AS n FROM s GROUP BY uuid),
+        p AS (SELECT a.uuid AS x, b.uuid AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.uuid <> b.uuid GROUP BY 1, 2),
+        e AS (SELECT x, y FROM p JOIN n AS nx ON nx.uuid = x JOIN n AS ny ON ny.uuid = y WHERE c >= 0.6 * (nx.n + ny.n - c)),
+        r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT x AS uuid_a, y AS uuid_b FROM r WHERE x < y""",
     "p4_digests": """
         WITH n AS (SELECT row_seq, nullif(regexp_replace(lower(digest), '[^\\p{L}\\p{N}]+', '', 'g'), '') AS d FROM atlas_mongo_vector)
         SELECT min(row_seq) AS kept, count(*) AS copies FROM n WHERE d IS NOT NULL GROUP BY d HAVING count(*) > 1""",
