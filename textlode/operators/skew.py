@@ -88,14 +88,14 @@ def rank_within(df: DataFrame, keys: list[str], order: str | None, row_id: str,
     return inside.join(starts, same).select(*[inside[c] for c in df.columns], (F.col("_start") + F.col("_in")).alias(name))
 
 
-def join_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has at most one row a ``key``; a few keys may own most rows of ``left``.
 
     The ``HOT_KEYS`` commonest keys of ``left`` get their row of ``right`` by a broadcast of that many rows; the rows of all
-    others meet theirs in a shuffle. ``how`` is inner or left. The right side's other columns come last, under names ``left`` must not have.
+    others meet theirs in a shuffle. ``how`` is inner or left. ``keys`` may name a cheaper table with the keys of ``left`` to count. The right side's other columns come last, under names ``left`` must not have.
     """
     names = [c for c in right.columns if c != key]
-    hot = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_hk").limit(HOT_KEYS)
+    hot = (left if keys is None else keys).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_hk").limit(HOT_KEYS)
     packed = right.select(F.col(key).alias("_k"), F.struct(*names).alias("_r"))
     hot = hot.join(packed, F.col("_hk") == F.col("_k"), "left").select("_hk", F.col("_r").alias("_hr"), F.lit(True).alias("_hot"))
     seen = left.join(F.broadcast(hot), left[key] == F.col("_hk"), "left")
