@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlode.llm.components import components
-from textlode.operators.skew import attach_group_min, attach_groups, join_to_one
 from textlode.session import stage
 
-POSITIONS, RUN = 200, 4
+POSITIONS, RUN = 200, 4  # RUN bytes are an int
 _WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -78,23 +77,25 @@ def _index(df: DataFrame, row_id: str, text: str, words: int, least_words: int)
                 if items is not None:
                     ids.append(key)
                     sets.append(items.view(np.int32))
-                    signs.append(signature(items).tobytes())
+                    signs.append(signature(items).view(np.int32))
             yield pd.DataFrame({"id": ids, "sh": sets, "sig": signs})
 
     rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    rows = rows.mapInPandas(run, f"id {df.schema[row_id].dataType.simpleString()}, sh array<int>, sig binary")
+    # the signature travels as runs of RUN bytes, which are the values of its keys
+    rows = rows.mapInPandas(run, f"id {df.schema[row_id].dataType.simpleString()}, sh array<int>, sig array<int>")
     return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Of the candidate ``pairs`` (a, b) those whose sets are similar enough."""
+    """Of the candidate ``pairs`` (a, b) those whose sets are similar enough. The joins are inner ones with single rows on the other side, so
+    Spark splits a partition that a row with many candidates makes too large."""
     need = least_matches(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+            x, y = (np.stack(batch[c].to_numpy()).view(np.uint8) for c in ("sig_a", "sig_b"))
             near = np.flatnonzero((x == y).sum(axis=1) >= need)
             keep = []
             for i, a, b in zip(near, batch["sh_a"].to_numpy()[near], batch["sh_b"].to_numpy()[near]):
@@ -106,7 +107,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
             yield batch.iloc[keep][["a", "b"]]
 
     side = lambda s: rows.select(F.col("rid").alias(s), F.col("sh").alias(f"sh_{s}"), F.col("sig").alias(f"sig_{s}"))
-    return join_to_one(pairs.join(side("b"), "b"), side("a"), "a").mapInPandas(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, row_id: str, text: str, threshold: float = 0.8, words: int = 5, least_words: int = 5) -> DataFrame:
@@ -123,26 +124,22 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, threshold: float = 0.
     rows = stage(_index(df, row_id, text, words, least_words))
     # equal sets stand behind one row of theirs, linked without comparison
     same = rows.select("rid", F.xxhash64("sh", "sig").alias("set"))
-    equal = attach_group_min(same, "set", "rid").where("rid <> kept").select(F.col("kept").alias("a"), F.col("rid").alias("b"))
+    first = same.groupBy("set").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    equal = same.join(first, "set").where("rid <> a").select("a", F.col("rid").alias("b"))
     equal = stage(equal)
     alone = rows.join(equal.select(F.col("b").alias("rid")), "rid", "left_anti") if not equal.isEmpty() else rows
-    # a key is its place and RUN bytes there
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(POSITIONS // RUN - 1)),
-        lambda k: F.conv(F.hex(F.substring("sig", k * RUN + 1, F.lit(RUN))), 16, 10).cast("long") * F.lit(POSITIONS) + k,
-    )
-    index = alone.select("rid", F.explode(keys).alias("key"))
-    crowd = attach_groups(index, "key", "rid", {"a": F.min("rid"), "z": F.max("rid")}, "a < z")
-    shared = stage(crowd.select("key", "rid", "a"))
+    # a key is RUN bytes and their place
+    index = alone.select("rid", F.posexplode("sig").alias("place", "run")).select("rid", (F.col("run").cast("long") * POSITIONS + F.col("place")).alias("key"))
+    crowd = index.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a < z").select("key", "a")
+    shared = stage(index.join(crowd, "key").select("key", "rid", "a"))
     star = shared.where("rid <> a").select("a", F.col("rid").alias("b")).distinct()
     links = stage(_verify(star, rows, threshold))
     tied = components(links.select("a", "b"))
     tied = stage(tied.withColumnRenamed("node", "rid"))
     # keys whose rows are not all tied together yet
     named = shared.select("key", "rid").join(tied, "rid", "left").withColumn("c", F.coalesce("component", "rid"))
-    named = stage(named.select("key", "rid", "c"))
-    split = attach_groups(named, "key", "rid", {"lo": F.min("c"), "hi": F.max("c")}, "lo < hi")
-    open_ = stage(split.select("key", "rid", "c"))
+    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    open_ = stage(named.join(split, "key").select("key", "rid", "c"))
     x, y = open_.alias("x"), open_.alias("y")
     more = x.join(y, F.col("x.key") == F.col("y.key")).where("x.rid < y.rid AND x.c <> y.c").select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
     more = more.join(star, ["a", "b"], "left_anti")
