@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,13 @@ LENGTH_SHARE = 4  # a sentence's length class counts as one of so many of its wo
 UNLABELLED = 0.02  # what an estimated level counts as a witness, beside a label
 
 _WORD = re.compile(r"[^\W\d_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
-_LEAD = re.compile(r"^\s*(?:[-*•>]+|\d+[.)]|[A-Z]:)\s+")
+_BLANK = re.compile(r"\n\s*\n")
+_TAG = re.compile(r"</?[a-z][^<>]{0,80}>")
+_LEAD = re.compile(r"^\s*(?:[-*•>]+|\d+[.)]|[a-z]:)\s+")
 _STOP = re.compile(r"[.!?…;]+(?=\s|$)|[。！？]")
 _NOT_PROSE = re.compile(
     r"^\s*(?:\|.*\||[{}\[\]]|\"[^\"]*\"\s*:|#{1,6}\s|```|[-=*_]{3,}\s*$"  # tables, JSON, headings, rules
-    r"|\[?\d{4}-\d\d-\d\d[T ]\d|\[?\d\d:\d\d(:\d\d)?|[^,\s]*(?:,[^,\s]+){2,}\s*$"  # logs, comma-separated values
+    r"|\[?\d{4}-\d\d-\d\d[T ]\d|\[?\d\d:\d\d(:\d\d)?|(?=(?:[^,]*,){2})(?!.*,\s)(?!.*[.!?](?:\s|$))"  # logs, comma-separated values
     r"|[\w.\-]+\s*=|at\s+[\w.$]+\(|[$>]\s)"  # settings, traces, commands
 )
 
@@ -43,7 +45,7 @@ def prose_sentences(text: str) -> list[list[str]]:
     """The words of each sentence of the running prose: markup, tables, logs, code, headings and lines of under four
     words are left out; lines of a paragraph run on."""
     sentences: list[list[str]] = []
-    for paragraph in re.split(r"\n\s*\n", _TAG.sub(" ", text)):
+    for paragraph in _BLANK.split(_TAG.sub(" ", text.lower())):
         open_: list[str] = []
         for line in paragraph.split("\n"):
             if not line.strip() or _NOT_PROSE.match(line):
@@ -54,7 +56,7 @@ def prose_sentences(text: str) -> list[list[str]]:
                 open_ = []
             parts = _STOP.split(line[lead.end() :] if lead else line)
             for k, part in enumerate(parts):
-                open_ += _WORD.findall(part.lower())
+                open_ += _WORD.findall(part)
                 if k < len(parts) - 1 and open_:
                     sentences.append(open_)
                     open_ = []
@@ -80,11 +82,10 @@ class _Slot(dict):
 
 def items_of(text: str, slots: dict) -> tuple[list[int], list[int], int]:
     """Slots and counts of a text's items, and its words of prose."""
-    counts: Counter = Counter()
-    total = 0
-    for words in prose_sentences(text):
-        counts.update(words)
-        total += len(words)
+    sentences = prose_sentences(text)
+    counts: Counter = Counter(chain.from_iterable(sentences))
+    total = sum(map(len, sentences))
+    for words in sentences:
         counts[f"#{min(int(4 * np.log2(len(words))), 28)}"] += max(1, len(words) // LENGTH_SHARE)
     merged: Counter = Counter()
     for item, n in counts.items():
