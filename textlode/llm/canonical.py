@@ -159,7 +159,7 @@ def confirmed(groups: DataFrame, forms: DataFrame) -> DataFrame:
     kept = forms.join(groups.select(F.col("kept").alias("i")).distinct(), "i").select(
         F.col("i").alias("kept"), F.col("p").alias("kp"), F.col("s").alias("ks"), F.col("plain").alias("kplain"), F.col("form").alias("kform")
     )
-    compared = join_to_one(own, kept, "kept").select(
+    compared = join_to_one(own, kept, "kept", keys=groups).select(
         "i", "root", "kept", "copies",
         (((F.col("p") == F.col("kp")) & (F.col("plain") != F.col("kplain")))
          | (F.coalesce(F.col("s") == F.col("ks"), F.lit(False)) & (F.col("form") != F.col("kform")))).alias("differs"),

@@ -275,7 +275,8 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
             if len(count) > 300_000:
                 yield pd.DataFrame({"token": list(count), "n": list(count.values())})
                 count = Counter()
-        yield pd.DataFrame({"token": list(count), "n": list(count.values())})
+        if count:
+            yield pd.DataFrame({"token": list(count), "n": list(count.values())})
 
     rows = df.select(F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]"))
     return rows.mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))

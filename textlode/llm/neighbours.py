@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlode.functions import vectors
 from textlode.session import stage
 
 #: Rows of the whole table used to fit centres and codes; the bound is the same at any size.
@@ -33,11 +34,9 @@ MOST_IN_TASK = 8192  # members of one cell in one task; a larger cell is scanned
 
 
 def usable(df: DataFrame, row_id: str, group: str, vector: str, dims: int) -> DataFrame:
-    """``(id, grp, v)`` of the rows that have a group and ``dims`` finite values, not all zero."""
-    v = F.col(vector)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    fine = F.col(group).isNotNull() & F.col(row_id).isNotNull() & (F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0)
-    return df.where(F.coalesce(fine, F.lit(False))).select(F.col(row_id).alias("id"), F.col(group).alias("grp"), v.cast("array<float>").alias("v"))
+    """``(id, grp, v)`` of the rows that have an id, a group and ``dims`` finite values, not all zero."""
+    fine = F.col(group).isNotNull() & F.col(row_id).isNotNull() & vectors.usable(F.col(vector), dims)
+    return df.where(fine).select(F.col(row_id).alias("id"), F.col(group).alias("grp"), F.col(vector).cast("array<float>").alias("v"))
 
 
 def _unit(rows: object) -> np.ndarray:
