@@ -36,7 +36,7 @@ _LEAD = re.compile(r"^\s*(?:[-*•>]+|\d+[.)]|[a-z]:)\s+")
 _STOP = re.compile(r"[.!?…;]+(?=\s|$)|[。！？]")
 _NOT_PROSE = re.compile(
     r"^\s*(?:\|.*\||[{}\[\]]|\"[^\"]*\"\s*:|#{1,6}\s|```|[-=*_]{3,}\s*$"  # tables, JSON, headings, rules
-    r"|\[?\d{4}-\d\d-\d\d[T ]\d|\[?\d\d:\d\d(:\d\d)?|(?=(?:[^,]*,){2})(?!.*,\s)(?!.*[.!?](?:\s|$))"  # logs, comma-separated values
+    r"|\[?\d{4}-\d\d-\d\d[t ]\d|\[?\d\d:\d\d(:\d\d)?|(?=(?:[^,]*,){2})(?!.*,\s)(?!.*[.!?](?:\s|$))"  # logs, comma-separated values
     r"|[\w.\-]+\s*=|at\s+[\w.$]+\(|[$>]\s)"  # settings, traces, commands
 )
 
