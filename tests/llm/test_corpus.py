@@ -206,6 +206,32 @@ def test_look_alikes():
     assert scans.explain("cat", "dog")[1] > 0 and not scans.only_look_alikes("cat", "cats")
 
 
+def test_every_look_alike_of_a_word_finds_it(spark):
+    rng = random.Random(3)
+    words = [w + x for w in WORDS for x in ("", "ing", "hood")] + ["reconstruction", "highthroughhatch", "lubrication", "tsrlcc", "strlct", "nlcts"]
+    counts, truth = {w: 1000 for w in words}, {}
+
+    def read(word, times):
+        for _ in range(times):
+            at, a, b = rng.choice([(i, a, b) for a, b in scans.LOOK_ALIKES for i in range(len(word)) if word.startswith(a, i)])
+            word = word[:at] + b + word[at + len(a) :]
+        return word
+
+    for w in words:
+        for times in (1, 2, 4):
+            r = read(w, times)
+            assert scans.core(r) == scans.core(w), (w, r)
+            if r not in counts and scans.only_look_alikes(w, r):
+                truth[r] = w
+    truth |= {"reconstriiction": "reconstruction", "liiglitliroughhatcli": "highthroughhatch"}
+    counts |= {r: 1 for r in truth}
+    df = spark.createDataFrame(list(counts.items()), "w string, n long")
+    all_of_them = scans.Boosted()
+    all_of_them.fitted = [(5.0,)]
+    got = {r["w"]: r["correction"] for r in scans.misread_words(df, all_of_them).collect()}
+    assert set(got) == set(truth) and all(scans.only_look_alikes(c, w) for w, c in got.items())
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((600, 3))
