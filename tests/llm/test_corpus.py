@@ -206,6 +206,19 @@ def test_look_alikes():
     assert scans.explain("cat", "dog")[1] > 0 and not scans.only_look_alikes("cat", "cats")
 
 
+def test_headers_recur_in_other_readings(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(_page(rng, 60)), None) for i in range(60)]
+    titles = [("Incoming Index", "lncoming lndex"), ("Printing Handbook", "pr1nting handbook"), ("Northern Threshold Glossary", "Northern Threshld Glossary"), ("Duplicate Metadata Manual", "Duplicate Metadata Manual l2")]
+    for s, pair in enumerate(titles):
+        for page, title in enumerate(pair):
+            lines = [" ".join(_page(rng, 4)) for _ in range(8)]
+            rows.append((100 + 2 * s + page, "\n".join([title, "", *lines]), f'{{"source": "/up/{s}.pdf", "page": {page}}}'))
+    df = spark.createDataFrame(rows, "record_id long, page_content string, metadata string")
+    parsed = scans.analyse(df, "record_id", "page_content", "metadata")["furniture"].where("header").select("record_id", "at").collect()
+    assert {tuple(r) for r in parsed} == {(100 + k, 1) for k in range(2 * len(titles))}
+
+
 def test_every_look_alike_of_a_word_finds_it(spark):
     rng = random.Random(3)
     words = [w + x for w in WORDS for x in ("", "ing", "hood")] + ["reconstruction", "highthroughhatch", "lubrication", "tsrlcc", "strlct", "nlcts"]
