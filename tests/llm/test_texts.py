@@ -67,6 +67,16 @@ def test_order_and_case_of_fields_dont_matter(fields, rng):
     assert a == b
 
 
+def test_records_in_frames_and_with_other_line_ends(spark):
+    fields = ["name: Ada", "role: admin", "team: blue"]
+    back = fields[::-1]
+    texts = ["\n".join(fields), "\n".join(["----", *back, "===="]), "\r".join(back), "\u2028".join(back), "\x85".join(back), "\x1e".join(back)]
+    assert all(canonical.structure(x) for x in texts)
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "record_id long, page_content string")
+    out = canonical.same_but_for_formatting(df, "record_id", "page_content").collect()
+    assert {(r["record_id"], r["kept"]) for r in out} == {(i, 1) for i in range(1, len(texts) + 1)}
+
+
 # ---------------------------------------------------------------- splitting
 
 

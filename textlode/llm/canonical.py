@@ -123,7 +123,10 @@ def same_but_for_formatting(df: DataFrame, row_id: str, text: str) -> DataFrame:
     have the same fields in any order; groups are closed under both. Rows whose text is null or has no letter or digit
     belong to no group. Exact copies count. Equality of digests is confirmed on the full forms before a row is grouped.
     """
-    may_have_fields = F.col("t").rlike(r"^\s*\{") | F.col("t").rlike(r"(?s)\A\s*[^:\n]{1,200}:[^\n]*(\n[^:\n]*:?[^\n]*)+\z")
+    # no less than fields_of takes: an object, or lines with colons, of any kind of line ends
+    end = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+    line = rf":[^{end}]*+[{end}][^:]*+"
+    may_have_fields = F.col("t").rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*\{") | F.col("t").rlike(rf"\A[^:]*+{line}{line}:")
     forms = (
         df.select(F.col(row_id).alias("i"), F.col(text).alias("t"))
         .select("i", letters_digits(F.col("t")).alias("plain"), _structure(F.when(may_have_fields, F.col("t"))).alias("s"))
