@@ -47,13 +47,41 @@ def test_key_profile_of_nothing_and_of_nulls(spark):
 def test_rank_within_orders_each_key(spark):
     rows = [r for r in _rows(900)[:900]]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["row_seq"]: r["rank"] for r in rank_within(df, ["file_id"], "page", "row_seq", buckets=16).collect()}
+    got = {r["row_seq"]: r["rank"] for r in rank_within(df, ["file_id"], ["page", "row_seq"]).collect()}
     groups = defaultdict(list)
     for r in rows:
         groups[r[1]].append(r)
     for mine in groups.values():
         mine.sort(key=lambda r: (r[3] is None, r[3] or 0, r[0]))
         assert [got[r[0]] for r in mine] == list(range(len(mine)))
+    # keys beyond the bound go over several sorted ranges
+    spread = rank_within(df, ["file_id"], ["page", "row_seq"], most=100).collect()
+    assert {r["row_seq"]: r["rank"] for r in spread} == got and len(spread) == len(rows)
+    assert rank_within(df.limit(0), ["file_id"], ["page"]).count() == 0
+
+
+def test_no_window_sorts_a_large_key(spark):
+    """The rows of a large key are sorted by ranges: no task of the plan gets all of them."""
+    df = spark.range(40_000).select(F.col("id"), (F.col("id") % 5).alias("page"), F.lit("hot").alias("file_id"))
+    df = df.unionByName(spark.range(100).select((F.col("id") + 50_000).alias("id"), F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("file_id")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = rank_within(df, ["file_id"], ["page", "id"], most=1000)
+        seen = out.where("file_id = 'hot'").withColumn("p", F.spark_partition_id()).collect()
+        assert [r["id"] for r in sorted(seen, key=lambda r: r["rank"])] == sorted(range(40_000), key=lambda i: (i % 5, i))
+        assert max(Counter(r["p"] for r in seen).values()) < 25_000 and len({r["rank"] for r in seen}) == 40_000
+        assert {r["rank"] for r in out.where("file_id IS NULL").collect()} == set(range(100))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_medians_of_values_far_apart(spark):
+    from textlode.operators.skew import value_frequencies, weighted_median
+
+    cases = {"a": [1, 5000], "b": [7], "c": [1, 2, 3000, 9000], "d": [-5000, -4000, 3], "e": [4] * 5 + [100_000] * 5, "f": [None, None]}
+    df = spark.createDataFrame([(k, v) for k, values in cases.items() for v in values], "k string, p int")
+    got = {r["k"]: r["median"] for r in weighted_median(value_frequencies(df, "k", ["p"]), "k", "p").collect()}
+    assert got == {"a": 2500.5, "b": 7.0, "c": 1501.0, "d": -4000.0, "e": 50_002.0}
 
 
 def test_attach_group_min_hot_and_cold(spark):
@@ -86,7 +114,7 @@ def test_join_to_one_hot_and_cold(spark):
 
 def test_rank_by_id_alone(spark):
     df = spark.createDataFrame([(i * 7 % 1000, i % 3) for i in range(1000)], "row_seq long, page int")
-    got = {r["row_seq"]: r["rank"] for r in rank_within(df, ["page"], None, "row_seq", 64).collect()}
+    got = {r["row_seq"]: r["rank"] for r in rank_within(df, ["page"], ["row_seq"], most=64).collect()}
     for p in range(3):
         mine = sorted(i * 7 % 1000 for i in range(1000) if i % 3 == p)
         assert [got[i] for i in mine] == list(range(len(mine)))

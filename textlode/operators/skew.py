@@ -6,11 +6,22 @@ combines on the map side - and only then reduces to the key. No operator gathers
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys that ``attach_group_min`` treats as hot: at most this many one-row groups are broadcast.
-HOT_KEYS = 64
+from textlode.session import stage
+
+#: The commonest keys are treated as hot. Every key with more than one of so many rows is among them, and what is broadcast for them
+#: is one narrow row each.
+HOT_KEYS = 1024
+#: Rows of a key that a window may sort, or one of ``LARGEST`` of all rows, if that is more.
+MOST_SORTED, LARGEST = 100_000, 10_000
+#: Consecutive whole values that are weighed together in the search for a median.
+VALUES = 1024
 
 
 def value_frequencies(df: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -37,22 +48,17 @@ def key_profile(df: DataFrame, key: str, digest: str, number: str) -> DataFrame:
         F.sum(F.when(F.col("d").isNotNull(), F.col("_n") - 1).otherwise(0)).alias("n_copies"),
         F.min(F.when(F.col("d").isNotNull(), F.struct((-F.col("_n")).alias("m"), F.col("d").alias("d")))).alias("top"),
     )
-    numbers = (
-        value_frequencies(df, "k", ["p"])
-        .groupBy("k")
-        .agg(
-            F.min("p").alias("first_value"),
-            F.max("p").alias("last_value"),
-            F.expr("percentile(p, 0.5D, _n)").alias("median_value"),
-            F.min(F.when(F.col("p").isNotNull(), F.struct((-F.col("_n")).alias("m"), F.col("p").alias("p")))).alias("mode"),
-        )
+    by_number = value_frequencies(df, "k", ["p"])
+    numbers = by_number.groupBy("k").agg(
+        F.min("p").alias("first_value"),
+        F.max("p").alias("last_value"),
+        F.min(F.when(F.col("p").isNotNull(), F.struct((-F.col("_n")).alias("m"), F.col("p").alias("p")))).alias("mode"),
     )
-    both = digests.join(numbers, "k")
-    total = both.agg(F.sum("n_rows").alias("total"))  # one row
-    return both.crossJoin(F.broadcast(total)).select(
+    both = digests.join(numbers, "k").join(weighted_median(by_number, "k", "p").withColumnRenamed("median", "median_value"), "k", "left")
+    return both.select(
         F.col("k").alias(key),
         "n_rows",
-        (F.col("n_rows") / F.col("total")).alias("share"),
+        (F.col("n_rows") / digests.agg(F.sum("n_rows")).scalar()).alias("share"),
         "n_digests",
         "n_copies",
         F.col("top.d").alias("top_digest"),
@@ -64,28 +70,62 @@ def key_profile(df: DataFrame, key: str, digest: str, number: str) -> DataFrame:
     )
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str | None, row_id: str, buckets: int = 256, name: str = "rank") -> DataFrame:
-    """``df`` with the 0-based position of each row under its ``keys``, by ``order`` (nulls last; None: by id alone) and ``row_id``.
+def weighted_median(weighted: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, median)`` of ``weighted`` rows (key, value, ``_n``); nulls don't count, and keys without a value are left out.
 
-    The rows of a key are counted by (key, order, block of ``row_id``); running sums over those counts give
-    where each block begins, and only the rows of one block - at most ``buckets`` consecutive integer ids, if ids are
-    unique - are ever sorted together. ``row_id`` is a whole number; rows with a null key get a rank as one key.
+    The weights are summed by blocks of ``VALUES`` consecutive whole values; running sums over the blocks show in which the middle lies,
+    and only the values of that block (or of the two, for an even number between blocks) are put in order.
+    """
+    some = weighted.where(F.col(value).isNotNull()).withColumn("_b", F.floor(F.col(value) / F.lit(VALUES)))
+    blocks = some.groupBy(key, "_b").agg(F.sum("_n").alias("_w"))
+    upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(key)
+    blocks = blocks.select(key, "_b", (F.sum("_w").over(upto) - F.col("_w")).alias("_lo"), F.sum("_w").over(upto).alias("_hi"), F.sum("_w").over(whole).alias("_all"))
+    # 1-based places of the two middle rows, the same one if their number is odd
+    first, second = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    blocks = blocks.where(((first > F.col("_lo")) & (first <= F.col("_hi"))) | ((second > F.col("_lo")) & (second <= F.col("_hi"))))
+    inside = Window.partitionBy(key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = some.join(blocks, [key, "_b"]).withColumn("_upto", F.col("_lo") + F.sum("_n").over(inside))
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
+    return near.groupBy(key).agg(((at(first) + at(second)) / F.lit(2.0)).alias("median"))
+
+
+def rank_within(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", sizes: DataFrame | None = None, most: int = MOST_SORTED, share: int = LARGEST,
+) -> DataFrame:
+    """``df`` with the 0-based position of each row under its ``keys``, by the columns of ``order`` (nulls last).
+
+    Rows that agree in all of ``order`` get different positions, in no fixed order. Null keys count as one key. A key with more rows than
+    ``most`` and than one of ``share`` of all is large: there are fewer than ``share`` such keys. The rows of large keys are partitioned and sorted by
+    ranges of (keys, order), so that a key goes over as many tasks as its rows need; a position is the row's place in its partition
+    plus the rows of the key in the partitions before, of which a table of one row for each key and partition tells. All
+    other keys are numbered by a window, which so never sorts more rows than the larger of the two bounds. ``sizes`` (keys, ``_n``) may give
+    the numbers of rows, or what is no less than a fixed part of them, more cheaply than counting ``df``. An empty table gives no rows.
     """
-    block = F.floor(F.col(row_id) / F.lit(buckets)).alias("_block")
-    rows = df.withColumn("_block", block)
-    sorting = ["_block"]
-    if order is not None:
-        rows = rows.withColumn("_null", F.col(order).isNull())
-        sorting = ["_null", order, "_block"]
-    parts = [*keys, *sorting]
-    counts = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy(*sorting).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*parts).orderBy(row_id)) - 1)
-    same: Column = F.lit(True)
-    for c in parts:
-        same = same & inside[c].eqNullSafe(starts[c])
-    return inside.join(starts, same).select(*[inside[c] for c in df.columns], (F.col("_start") + F.col("_in")).alias(name))
+    keys, order = list(keys), list(order)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes.select(*keys, "_n")
+    large = counts.where(F.col("_n") > F.greatest(F.lit(most), counts.agg(F.sum("_n")).scalar() / share))
+    large = stage(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(True).alias("_large")))
+    ascending = [F.asc_nulls_last(c) for c in order]
+    if large.isEmpty():
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*ascending)) - 1).cast("long"))
+
+    def on(left: DataFrame, right: DataFrame) -> Column:
+        return reduce(and_, [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)])
+
+    rows = df.join(F.broadcast(large), on(df, large), "left")  # fewer than ``share`` keys
+    small = rows.where("_large IS NULL").select(*[df[c] for c in df.columns])
+    small = small.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*ascending)) - 1).cast("long"))
+    hot = rows.where("_large").select(*[df[c] for c in df.columns])
+    ranges = [*[F.asc_nulls_last(k) for k in keys], *ascending]
+    hot = hot.repartitionByRange(*ranges).sortWithinPartitions(*ranges).withColumn("_at", F.monotonically_increasing_id())
+    hot = stage(hot.withColumn("_part", F.shiftright("_at", 33)))
+    runs = hot.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p")).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)) - F.col("_from"))
+    # a partition holds a run of keys, so there are fewer runs than large keys and partitions together
+    hot = hot.join(F.broadcast(runs), on(hot, runs) & (hot["_part"] == runs["_p"]))
+    return small.unionByName(hot.select(*[hot[c] for c in df.columns], (F.col("_at") + F.col("_before")).alias(name)))
 
 
 def join_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None) -> DataFrame:

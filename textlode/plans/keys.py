@@ -31,7 +31,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row that has a file, with its place among the rows of that file by page and arrival."""
     rows = table(spark, sf_dir, "atlas_mongo_vector").where("file_id IS NOT NULL").select("row_seq", "file_id", "page")
-    return rank_within(rows, ["file_id"], "page", "row_seq", name="position")
+    return rank_within(rows, ["file_id"], ["page", "row_seq"], "position")
 
 
 QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p2_chunks": p2_chunks}
