@@ -67,6 +67,33 @@ def test_packing_is_whole_and_cuts_only_what_is_too_long(spark):
         _pack(spark, [1], {"bad": 0})
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 10_000_000), st.randoms(), st.integers(1, 60))
+def test_places_are_those_of_the_plan_at_any_capacity(capacity, rng, kinds):
+    histogram = Counter()
+    for _ in range(kinds):
+        histogram[min(capacity, int(capacity ** rng.random()) + rng.randrange(3))] += rng.randrange(1, 50)
+    histogram = {n: c for n, c in histogram.items() if n <= capacity}
+    places, load = packing.Places(packing.plan(histogram, capacity)), Counter()
+    lengths = np.repeat(list(histogram), list(histogram.values())).astype("i8")
+    ranks = np.concatenate([np.arange(c) for c in histogram.values()]).astype("i8")
+    for container, n in zip(places.of(lengths, ranks).tolist(), lengths.tolist()):
+        load[container] += n
+    assert max(load.values()) <= capacity and sum(load.values()) == sum(n * c for n, c in histogram.items())
+    assert set(load) == set(range(len(load)))
+
+
+def test_packing_of_long_items(spark):
+    rng = random.Random(5)
+    sizes = [rng.randrange(1, 1_000_000) for _ in range(2000)] + [5_000_000, 2_500_001]
+    load = Counter()
+    rows = _pack(spark, sizes, {"long": 1_000_000})
+    for r in rows:
+        load[r["container_no"]] += r["n_tokens"]
+    assert max(load.values()) <= 1_000_000 and sum(load.values()) == sum(sizes) and len(rows) == 2000 + 5 + 3
+    assert sum(load.values()) >= 0.98 * 1_000_000 * len(load)
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -100,6 +127,15 @@ def test_mixture_reaches_its_shares(spark):
     assert mixing.mix(sizes, targets.limit(0), "doc_id", "source").count() == 0
 
 
+def test_repeated_ids_are_drawn_apart(spark):
+    sizes = spark.createDataFrame([(1, "s", 100), (1, "s", 100), (2, "s", 100)], "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("s", 1.0, 3)], "source string, target_share double, max_repeats int")
+    for total in (100, 200, 300, 400, 500):
+        for seed in range(6):
+            used = sum(r["n_tokens"] * r["copies"] for r in mixing.mix(sizes, targets, "doc_id", "source", total, seed).collect())
+            assert abs(used - total) <= 100 and used <= total
+
+
 # ---------------------------------------------------------------- reading levels
 
 EASY = "the cat sat on a mat and the dog ran to the box".split()

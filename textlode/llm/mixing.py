@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlode.session import stage
+
 #: Slices of the seeded order in which the cut for a fractional repetition is searched.
 SLICES = 4096
 #: A row is large for its source if it alone is more than one of so many parts of the amount to cut.
@@ -66,14 +68,25 @@ def mix(sizes: DataFrame, targets: DataFrame, row_id: str, source: str, total: f
     used = used.withColumn("_order", order).withColumn("_slice", F.pmod(F.shiftright("_order", 20), F.lit(SLICES)).cast("int"))
     held = F.broadcast(spark.createDataFrame([(s, float((a - a // t * t) / t)) for s, _, _, t, a in plan if t > 0 and a > 0], "source string, chance double"))
     is_large = F.col("n_tokens") * LARGE > F.col("part")
-    drawn = used.where(is_large).join(held, "source").where(F.pmod("_order", F.lit(1 << 30)) < F.col("chance") * (1 << 30))
-    # at most LARGE / chance rows a source can be large
-    drawn = drawn.withColumn("_end", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, 0)))
-    drawn = drawn.where("_end <= part").select("_id", "source", "n_tokens", "_order", F.lit(1).alias("_drawn"))
+    lot = F.pmod("_order", F.lit(1 << 30)) < F.col("chance") * (1 << 30)
+    # a row of its own number each, repeated ids too
+    large = stage(used.where(is_large).join(held, "source").withColumn("_row", F.monotonically_increasing_id()))
+    seeded = Window.partitionBy("source").orderBy("_order", "_id", "_row")
+    upto = seeded.rowsBetween(Window.unboundedPreceding, 0)
+    # those whose lot is drawn are about LARGE rows a source at most
+    drawn = large.where(lot).withColumn("_end", F.sum("n_tokens").over(upto)).where("_end <= part")
     taken = drawn.groupBy("source").agg(F.sum("n_tokens").alias("_taken"))  # a row a source
-    large = used.where(is_large).join(drawn.select("_id", "_order", "_drawn").distinct(), ["_id", "_order"], "left")
-    large = large.select("_id", "source", "n_tokens", (F.col("whole") + F.coalesce("_drawn", F.lit(0))).alias("copies"))
-    used = used.where(~is_large).join(taken, "source", "left").withColumn("part", F.col("part") - F.coalesce("_taken", F.lit(0)))
+    # where all the small rows together leave a gap, more large ones fill it: no more than LARGE of them fit, and the group limit is
+    # taken before the shuffle
+    small = used.where(~is_large).groupBy("source").agg(F.sum("n_tokens").alias("_small"))
+    others = large.where(~lot).withColumn("_k", F.row_number().over(seeded)).where(F.col("_k") <= LARGE)
+    others = others.join(F.broadcast(taken), "source", "left").join(F.broadcast(small), "source", "left")
+    gap = F.col("part") - F.coalesce("_taken", F.lit(0)) - F.coalesce("_small", F.lit(0))
+    others = others.withColumn("_end", F.sum("n_tokens").over(upto)).where(F.col("_end") <= gap)
+    picked = drawn.select("_row").union(others.select("_row")).withColumn("_more", F.lit(1))
+    large = large.join(picked, "_row", "left")
+    large = large.select("_id", "source", "n_tokens", (F.col("whole") + F.coalesce("_more", F.lit(0))).alias("copies"))
+    used = used.where(~is_large).join(F.broadcast(taken), "source", "left").withColumn("part", F.col("part") - F.coalesce("_taken", F.lit(0)))
     slices = used.groupBy("source", "_slice").agg(F.sum("n_tokens").alias("_sum"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))  # at most SLICES rows a source
@@ -100,8 +113,8 @@ def shares(mixture: DataFrame, sizes: DataFrame, targets: DataFrame, source: str
         F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("rows_used")
     )
     both = wanted.join(there, "source", "left").join(got, "source", "left").na.fill(0)
-    total = both.agg(F.sum("tokens_used").alias("_total"))  # one row
-    share = F.when(F.col("_total") > 0, F.col("tokens_used") / F.col("_total")).otherwise(F.lit(0.0))
-    return both.crossJoin(F.broadcast(total)).select(
+    total = both.agg(F.sum("tokens_used")).scalar()
+    share = F.when(total > 0, F.col("tokens_used") / total).otherwise(F.lit(0.0))
+    return both.select(
         "source", "target_share", share.alias("share_reached"), "tokens_there", "tokens_used", "rows_used", "most_copies", "max_repeats"
     )
