@@ -96,8 +96,8 @@ def _index(df: DataFrame, row_id: str, text: str, words: int, least_words: int)
 
 def _verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Of the candidate ``pairs`` (a, b) those whose sets are similar enough. Signatures come first, and only pairs that they leave get their
-    sets. The joins are inner ones with single rows on the other side, so Spark splits a partition that a row with many candidates makes too
-    large."""
+    sets. Both ends of the pairs meet the rows in one join: few pairs are broadcast, if their size allows, else the rows are shuffled once, in an inner
+    join whose partitions Spark splits if a row with many candidates makes one too large."""
     need = least_matches(threshold)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,9 +117,13 @@ def _verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
                         keep.append(i)
             yield batch.iloc[keep][["a", "b"]]
 
-    side = lambda s, c: rows.select(F.col("rid").alias(s), F.col(c).alias(f"{c}_{s}"))
-    likely = stage(pairs.select("a", "b").join(side("b", "sig"), "b").join(side("a", "sig"), "a").mapInPandas(count, "a long, b long"))
-    return likely.join(side("b", "sh"), "b").join(side("a", "sh"), "a").mapInPandas(verify, "a long, b long")
+    def with_both(pairs: DataFrame, c: str) -> DataFrame:
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rid")).join(rows.select("rid", c), "rid")
+        both = [F.first(F.when(F.col("rid") == F.col(s), F.col(c)), ignorenulls=True).alias(f"{c}_{s}") for s in ("a", "b")]
+        return ends.groupBy("a", "b").agg(*both)
+
+    likely = stage(with_both(pairs, "sig").mapInPandas(count, "a long, b long"))
+    return with_both(likely, "sh").mapInPandas(verify, "a long, b long")
 
 
 def _common(rows: DataFrame) -> np.ndarray:
@@ -183,7 +187,7 @@ def _open_pairs(shared: DataFrame, tied: DataFrame, star: DataFrame, rows: DataF
     x, y = lists.alias("x"), lists.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") == F.col("y.g"))).where("x.rid < y.rid AND x.c <> y.c")
     pairs = pairs.groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")
+    return stage(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def near_duplicates(df: DataFrame, row_id: str, text: str, threshold: float = 0.8, words: int = 5, least_words: int = 5) -> DataFrame:
