@@ -94,14 +94,38 @@ def test_dims_must_fit():
         neighbours.top_similar(type("D", (), {"sparkSession": None})(), "a", "b", "c", dims=6)
 
 
+def recall(got, want):
+    assert set(got) == set(want)
+    return sum(len({n for n, _ in got[u]} & {n for n, _ in want[u]}) for u in want) / sum(map(len, want.values()))
+
+
+def _table(parts, dims):
+    """Rows of collections of the given sizes, each with vectors of its own."""
+    rows = []
+    for c, (name, n) in enumerate(parts.items()):
+        rows += [(f"{name}{i:06d}", name, [float(a) for a in v], 1, "v", 1) for i, v in enumerate(clustered(n, dims, c))]
+    return rows
+
+
 def test_two_levels_of_centres(spark, monkeypatch):
-    x = clustered(2000, 16, 5)
-    rows = [(f"u{i:05d}", "c", [float(a) for a in v], 1, "", 1) for i, v in enumerate(x)]
-    monkeypatch.setattr(neighbours, "MOST_CENTRES", 8)
+    monkeypatch.setattr(neighbours, "MOST_CENTRES", 16)
     monkeypatch.setattr(neighbours, "CELL", 40)
-    df = spark.createDataFrame(rows, SCHEMA)
-    centres, _ = neighbours._fit(neighbours.usable(df, "uuid", "collection_id", "embedding", 16), 16)
-    assert len(centres["c"][0]) == 8 and 1 < len(centres["c"][1]) <= 8
+    rows = _table({"c": 6000}, 16)
+    df = neighbours.usable(spark.createDataFrame(rows, SCHEMA), "uuid", "collection_id", "embedding", 16)
+    cells, _ = neighbours._fit(df, df.groupBy("grp").count().withColumnRenamed("count", "n"), 16)
+    assert [len(t) for t in cells.levels("c", 6000)] == [16, 16]
+    assert recall(found(spark, rows, dims=16), brute(rows, 4, 16)) >= 0.95
+
+
+def test_a_small_collection_of_a_large_table(spark, monkeypatch):
+    """Collections of a thousandth of the table and less, without centres of their own, are divided by their own size."""
+    monkeypatch.setattr(neighbours, "OWN", 1)
+    monkeypatch.setattr(neighbours, "CELL", 16)
+    rows = _table({"large": 9000, "mid": 600, "small": 90, "few": 9, "one": 1}, 16)
+    df = neighbours.usable(spark.createDataFrame(rows, SCHEMA), "uuid", "collection_id", "embedding", 16)
+    cells, _ = neighbours._fit(df, df.groupBy("grp").count().withColumnRenamed("count", "n"), 16)
+    assert set(cells.own) == {"large"} and len(cells.levels("mid", 600)) >= 1 and cells.levels("few", 9) == []
     got, want = found(spark, rows, dims=16), brute(rows, 4, 16)
-    hits = sum(len({n for n, _ in got[u]} & {n for n, _ in want[u]}) for u in want) / sum(map(len, want.values()))
-    assert hits >= 0.9 and set(got) == set(want)
+    del want["one000000"]
+    for name in ("large", "mid", "small", "few"):
+        assert recall({u: v for u, v in got.items() if u.startswith(name)}, {u: v for u, v in want.items() if u.startswith(name)}) >= 0.95, name

@@ -1,8 +1,9 @@
 """The k most similar vectors of every vector: a partitioned four-bit scan with exact reranking.
 
 1. Vectors are scaled to length one, so that cosine similarity is an inner product.
-2. Partition centres are fitted per collection on a bounded sample; each vector belongs to its nearest
-   ``spill`` cells, and two vectors meet if they share one.
+2. Cells are fitted on bounded samples: the largest collections have centres of their own, the others share some, and where a collection needs more
+   cells than it has centres, what remains of a vector after its centre is divided again, by as many levels as the collection's size asks for. Each vector
+   belongs to its nearest ``spill`` cells a level, and two vectors meet if they share one.
 3. A product code (16 centres for each pair of dimensions, four bits) is fitted score-aware: the loss weighs a residual's
    part parallel to the vector ``eta`` times its orthogonal part, as only that part shifts large inner products.
 4. In each cell, every member's look-up tables (one byte an entry) are summed over the codes of the other members, and the
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from textlode.functions import vectors
 from textlode.session import stage
 
-#: Rows of the whole table used to fit centres and codes; the bound is the same at any size.
-SAMPLE = 60_000
-#: Aimed-at rows nearest to one centre, and the most centres a collection gets from the bounded sample. Larger collections get a second
-#: level: cells are then pairs of a centre and one of up to ``MOST_CENTRES`` centres of what remains of the vectors.
+#: Rows used to fit centres and codes: as many of the whole table, and as many of the ``OWN`` largest collections together, each with an equal part.
+#: Every collection with more than one of ``OWN`` of all rows is among those. The bounds are the same at any size.
+SAMPLE, OWN = 60_000, 64
+#: Aimed-at rows of a cell, and the most centres of one level.
 CELL, MOST_CENTRES = 64, 4096
 SUB, CENTRES = 2, 16  # dimensions a subspace and its centres: four bits
 ETA = 4.0
@@ -59,32 +60,69 @@ def fit_centres(x: np.ndarray, n: int, seed: int = 7, rounds: int = 8) -> np.nda
     return centres
 
 
-def fit_residuals(x: np.ndarray, centres: np.ndarray, n: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
-    """k-means of what remains of the vectors after their nearest centre."""
-    rest = x - centres[(x @ centres.T).argmax(1)]
+def fit_rest(rest: np.ndarray, n: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
+    """k-means of what remains of vectors."""
     rng = np.random.default_rng(seed)
     out = rest[rng.choice(len(rest), n, replace=False)].copy()
     for _ in range(rounds):
-        near = (2 * rest @ out.T - (out * out).sum(1)).argmax(1)
+        near = np.concatenate([(2 * rest[i : i + 8192] @ out.T - (out * out).sum(1)).argmax(1) for i in range(0, len(rest), 8192)])
         sums = np.zeros_like(out)
         np.add.at(sums, near, rest)
         counts = np.bincount(near, minlength=n)[:, None]
-        out = np.where(counts > 0, sums / np.maximum(counts, 1), rest[rng.choice(len(rest), n)]).astype(x.dtype)
+        out = np.where(counts > 0, sums / np.maximum(counts, 1), rest[rng.choice(len(rest), n)]).astype(rest.dtype)
     return out
 
 
-def nearest_cells(x: np.ndarray, centres: tuple[np.ndarray, np.ndarray | None], spill: int) -> np.ndarray:
-    """The ``spill`` nearest cells of each row."""
-    first, finer = centres
-    p = min(spill, len(first))
-    near = np.argpartition(-(x @ first.T), p - 1, axis=1)[:, :p]
-    if finer is None:
-        return near
-    rest = x[:, None, :] - first[near]
-    dist = (finer * finer).sum(1) - 2 * rest @ finer.T + (rest * rest).sum(2)[:, :, None]
-    flat = dist.reshape(len(x), -1)
-    best = np.argpartition(flat, min(spill, flat.shape[1]) - 1, axis=1)[:, :spill]
-    return np.take_along_axis(near, best // len(finer), 1) * len(finer) + best % len(finer)
+def sizes_of(wanted: int, first: int) -> list[int]:
+    """Numbers of centres of the further levels that make about ``wanted`` cells of ``first`` ones: powers of 4, so that few tables serve all sizes."""
+    out, rest = [], wanted / max(1, first)
+    while rest > 2:
+        size = 4
+        while size < rest and size < MOST_CENTRES:
+            size *= 4
+        out.append(size)
+        rest /= size
+    return out
+
+
+class Cells:
+    """The cells of every collection: centres of its own or shared ones, then shared tables of what remains."""
+
+    def __init__(self, own: dict[str, np.ndarray], shared: dict[int, np.ndarray], finer: dict[int, np.ndarray]) -> None:
+        self.own, self.shared, self.finer = own, shared, finer
+
+    def levels(self, grp: str, n: int) -> list[np.ndarray]:
+        """The tables by which the cells of a collection of ``n`` rows are told, none for a single cell."""
+        wanted = n // CELL
+        if wanted < 2:
+            return []
+        first = self.own.get(grp)
+        if first is None:
+            fits = [k for k in self.shared if k <= wanted] or sorted(self.shared)[:1]
+            if not fits:
+                return []
+            first = self.shared[max(fits)]
+        return [first] + [self.finer[k] for k in sizes_of(wanted, len(first)) if k in self.finer]
+
+    def nearest(self, x: np.ndarray, grp: str, n: int, spill: int) -> np.ndarray:
+        """The nearest cells of each row, ``spill`` for each level, by the best ones of the levels before."""
+        levels = self.levels(grp, n)
+        if not levels:
+            return np.zeros((len(x), 1), dtype="i8")
+        keep = spill * len(levels)
+        sims = x @ levels[0].T
+        p = min(keep, sims.shape[1])
+        cells = np.argpartition(-sims, p - 1, axis=1)[:, :p]
+        rest = x[:, None, :] - levels[0][cells]
+        cells = cells.astype("i8")
+        for table in levels[1:]:
+            dist = ((table * table).sum(1) - 2 * rest @ table.T + (rest * rest).sum(2)[:, :, None]).reshape(len(x), -1)
+            p = min(keep, dist.shape[1])
+            best = np.argpartition(dist, p - 1, axis=1)[:, :p]
+            row, at = best // len(table), best % len(table)
+            rest = np.take_along_axis(rest, row[:, :, None], 1) - table[at]
+            cells = np.take_along_axis(cells, row, 1) * len(table) + at
+        return cells
 
 
 def anisotropic_codes(x: np.ndarray, book: np.ndarray, eta: float = ETA, sweeps: int = 2) -> np.ndarray:
@@ -132,27 +170,51 @@ def fit_book(x: np.ndarray, eta: float = ETA, rounds: int = 5, seed: int = 7) ->
     return book
 
 
-def _fit(rows: DataFrame, dims: int) -> tuple[dict, np.ndarray]:
-    """Centres by group and the code book, from at most ``SAMPLE`` rows and an eighth; both are of bounded size."""
-    total = rows.count()
-    sample = rows.select("grp", "v", F.xxhash64("id", "grp").alias("_h"))
-    if total > SAMPLE:  # a slice of the hashed ids
-        sample = sample.where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
-    pdf = sample.select("grp", "v").limit(SAMPLE + SAMPLE // 8).toPandas()
+def _fit(rows: DataFrame, counts: DataFrame, dims: int) -> tuple[Cells, np.ndarray]:
+    """Cells and code book from bounded samples, both of bounded size."""
+    large = counts.orderBy(F.desc("n"), "grp").limit(OWN).collect()
+    if not large:
+        return Cells({}, {}, {}), np.zeros((dims // SUB, CENTRES, SUB))
+    total = counts.agg(F.sum("n")).first()[0]
+    sizes = {r["grp"]: r["n"] for r in large}
+    each = max(1, SAMPLE // len(sizes))
+    hashed = F.pmod(F.xxhash64("id", "grp"), F.lit(1 << 30))  # a slice of the hashed ids
+    own_bound = F.coalesce(*[F.when(F.col("grp") == g, F.lit(int((1 << 30) * min(1.0, each / n)))) for g, n in sizes.items()], F.lit(0))
+    bound = int((1 << 30) * min(1.0, SAMPLE / total))
+    sample = rows.withColumn("_h", hashed).where((F.col("_h") < bound) | (F.col("_h") < own_bound))
+    pdf = sample.select("grp", "v", (F.col("_h") < own_bound).alias("mine"), (F.col("_h") < bound).alias("all")).limit(2 * (SAMPLE + SAMPLE // 8)).toPandas()
     if not len(pdf):
-        return {}, np.zeros((dims // SUB, CENTRES, SUB))
-    centres = {}
-    for grp, at in pdf.groupby("grp", sort=False).indices.items():
-        mine = pdf["v"].to_numpy()[at]
-        wanted = int(max(1, len(mine) * (total / len(pdf)) // CELL))
-        cells = min(wanted, MOST_CENTRES, max(1, len(mine) // 4))
+        return Cells({}, {}, {}), np.zeros((dims // SUB, CENTRES, SUB))
+    x = _unit(pdf["v"].to_numpy()).astype("f4")
+    everything = pdf["all"].to_numpy()
+    own: dict[str, np.ndarray] = {}
+    rest, wanted = [], set()
+    for grp, at in pdf[pdf["mine"]].groupby("grp", sort=False).indices.items():
+        at = np.flatnonzero(pdf["mine"].to_numpy())[at]
+        cells = min(sizes[grp] // CELL, MOST_CENTRES, len(at) // 4)
         if cells > 1:
-            x = _unit(mine).astype("f4")
-            first = fit_centres(x, cells)
-            finer = min(-(-wanted // cells), MOST_CENTRES, len(mine) // 16)
-            centres[grp] = (first, fit_residuals(x, first, finer) if finer > 1 else None)
+            own[grp] = fit_centres(x[at], cells)
+            more = sizes_of(sizes[grp] // CELL, cells)
+            wanted |= set(more)
+            if more:
+                rest.append(x[at] - own[grp][(x[at] @ own[grp].T).argmax(1)])
+    # the largest of the other collections says which shared tables are needed
+    others = counts.where(~F.col("grp").isin(list(own))).agg(F.max("n")).first()[0] or 0
+    shared, k = {}, 4
+    while k <= min(others // CELL, MOST_CENTRES, everything.sum() // 4):
+        shared[k] = fit_centres(x[everything], k)
+        k *= 4
+    if shared:
+        more = sizes_of(others // CELL, max(shared))
+        smaller = {s for k in shared for n in (k, 2 * k, 4 * k) for s in sizes_of(min(n, others // CELL), k)}
+        wanted |= set(more) | smaller
+        if wanted:
+            base = shared[max(shared)]
+            rest.append(x[everything] - base[(x[everything] @ base.T).argmax(1)])
+    pool = np.concatenate(rest) if rest else x[:0]
+    finer = {k: fit_rest(pool, k) for k in wanted if k <= len(pool)}
     part = pdf["v"].sample(min(len(pdf), 8000), random_state=3)
-    return centres, fit_book(_unit(part.to_numpy()))
+    return Cells(own, shared, finer), fit_book(_unit(part.to_numpy()))
 
 
 def _best(x: np.ndarray, codes: np.ndarray, book: np.ndarray, rows: slice, rerank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +252,8 @@ def top_similar(df: DataFrame, row_id: str, group: str, vector: str, dims: int =
         raise ValueError("dims must be divisible by 4")
     rows = usable(df, row_id, group, vector, dims)
     rows = stage(rows.withColumn("h", F.xxhash64("grp", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))))
-    shared = spark.sparkContext.broadcast(_fit(rows, dims))
+    counts = stage(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
+    shared = spark.sparkContext.broadcast(_fit(rows, counts, dims))
     # equal vectors: the k + 1 smallest ids stand for all of them
     copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("h")
     copies = stage(copies)
@@ -203,7 +266,7 @@ def top_similar(df: DataFrame, row_id: str, group: str, vector: str, dims: int =
         standing = rows.join(copies, "h", "left_anti").unionByName(rows.join(some.select("h", "id"), ["h", "id"], "left_semi"), allowMissingColumns=False)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, book = shared.value
+        fitted, book = shared.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -212,14 +275,16 @@ def top_similar(df: DataFrame, row_id: str, group: str, vector: str, dims: int =
             packed = (codes[:, 0::2] << 4 | codes[:, 1::2]).astype("u1")
             cells: list = [[0]] * len(batch)
             for grp, at in batch.groupby("grp", sort=False).indices.items():
-                if grp not in centres:
-                    continue
-                for i in range(0, len(at), 1024):
-                    for r, n in zip(at[i : i + 1024], nearest_cells(x[at[i : i + 1024]].astype("f4"), centres[grp], spill)):
-                        cells[r] = n
+                n = int(batch["n"].iloc[at[0]])
+                step = 1024 if len(fitted.levels(grp, n)) < 2 else 64  # what a step holds in memory is bounded
+                for i in range(0, len(at), step):
+                    for r, found in zip(at[i : i + step], fitted.nearest(x[at[i : i + step]].astype("f4"), grp, n, spill)):
+                        cells[r] = found
             yield pd.DataFrame({"grp": batch["grp"], "id": batch["id"], "v": batch["v"], "code": [r.tobytes() for r in packed], "cells": cells})
 
-    coded = stage(standing.select("grp", "id", "v").mapInPandas(assign, "grp string, id string, v array<float>, code binary, cells array<int>"))
+    # an inner join with one row a collection: broadcast if there are few, else its large partitions are split
+    sized = standing.select("grp", "id", "v").join(counts, "grp")
+    coded = stage(sized.mapInPandas(assign, "grp string, id string, v array<float>, code binary, cells array<long>"))
     members = coded.select("grp", "id", "v", "code", F.explode("cells").alias("cell"))
     big = coded.select("grp", F.explode("cells").alias("cell")).groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
     big = stage(big.where(F.col("n") > MOST_IN_TASK).select("grp", "cell", F.ceil(F.col("n") / MOST_IN_TASK).cast("int").alias("blocks")))
