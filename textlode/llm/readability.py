@@ -1,10 +1,14 @@
 """Reading level of documents by a latent difficulty model of the Rasch kind.
 
-Every document has a level and every item - a word, or a length class of its sentences - a difficulty, both on the scale of the labels. A
-document is at least as demanding as an item with probability ``sigmoid((level - difficulty) / SPREAD)``, and lies where it exceeds and falls
-short of the items it uses equally often; so does each item among the documents that use it. Labelled documents
-are anchors. The two sides are estimated in turn: levels inside each partition, given the broadcast difficulties; difficulties from
-sums by item, of which a partition sends at most one row an item.
+Every document has a level and every item - a word, or a length class of its sentences - a difficulty. An item occurs in a document of level
+``t`` at the rate ``exp(ease + slope * t)``, as in Rasch's model of counts: hard items have a rising, easy ones a falling rate. The likelihood of a
+document has the items that occur in it and those that don't: ``slopes * t - log(total rate at t)`` for each occurrence, where the total is over all
+items, present or absent. Both sides have their maximum where observed and expected values meet, which makes the alternating steps short:
+
+* a document's level is where the expected slope of an occurrence is the mean slope of its items (``Model.levels``);
+* an item's slope is where the expected level of its occurrences is their mean level (``Model.fit``), of which a partition sends two sums an item.
+
+Labelled documents are anchors. Levels are estimated inside each partition, given the broadcast slopes.
 """
 
 from __future__ import annotations
@@ -25,9 +29,13 @@ from textlode.session import stage
 SLOTS = 1 << 18
 #: Labelled documents that anchor the scale are at most so many (by hash of the id, if there are more).
 LABELS = 50_000
-SPREAD, ROUNDS, LEVELS = 0.5, 4, 5
+ROUNDS, LEVELS = 3, 5
 LENGTH_SHARE = 4  # a sentence's length class counts as one of so many of its words
 UNLABELLED = 0.02  # what an estimated level counts as a witness, beside a label
+PRIOR = 2.0  # occurrences at the mean level that every item is taken to have beside its own
+#: Levels at which rates are tabulated, and the bins of levels in which occurrences are counted.
+GRID = np.linspace(-1.0, LEVELS + 2.0, 401)
+BINS = np.linspace(0.0, LEVELS + 1.0, 61)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BLANK = re.compile(r"\n\s*\n")
@@ -93,20 +101,40 @@ def items_of(text: str, slots: dict) -> tuple[list[int], list[int], int]:
     return list(merged), list(merged.values()), total
 
 
-def _levels(starts: np.ndarray, slots: np.ndarray, n: np.ndarray, difficulty: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The level of each document (a run of items from ``starts``), NaN where none of its items has a difficulty yet."""
-    d, w = difficulty[slots], weight[slots] * n
-    w = np.where(np.isnan(d), 0.0, w)
-    d = np.nan_to_num(d)
-    rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slots))))
-    size = len(starts)
-    total = np.bincount(rows, w, size)
-    level = np.bincount(rows, w * d, size) / np.maximum(total, 1e-12)
-    for _ in range(6):
-        p = 1 / (1 + np.exp(-(level[rows] - d) / SPREAD))
-        step = np.bincount(rows, w * (p - 0.5), size) / np.maximum(np.bincount(rows, w * p * (1 - p), size) / SPREAD, 1e-9)
-        level = level - np.clip(step, -0.5, 0.5)
-    return np.where(total > 0, np.clip(level, 0.0, LEVELS + 1.0), np.nan)
+class Model:
+    """Slopes of the items by slot (NaN where unknown), and the expected slope of an occurrence at each level of ``GRID``."""
+
+    def __init__(self, slope: np.ndarray, expected: np.ndarray) -> None:
+        self.slope, self.expected = slope, expected
+
+    @classmethod
+    def fit(cls, slots: np.ndarray, seen: np.ndarray, levels: np.ndarray, exposure: np.ndarray) -> Model:
+        """From the occurrences of each slot, the sum of the levels they were at, and all occurrences by bin of level."""
+        mean = float(exposure @ BINS / exposure.sum())
+        # the expected level of an occurrence for each slope: it rises with the slope
+        slopes = np.linspace(-6.0, 6.0, 1201)
+        tilt = np.exp(slopes[:, None] * (BINS - mean)) * exposure
+        total = tilt.sum(1)
+        slope = np.interp((levels + PRIOR * mean) / (seen + PRIOR), tilt @ BINS / total, slopes)
+        ease = np.log(seen) - np.interp(slope, slopes, np.log(total))
+        rate, moved = np.zeros(len(GRID)), np.zeros(len(GRID))
+        for i in range(0, len(slope), 8192):
+            rates = np.exp(ease[i : i + 8192, None] + slope[i : i + 8192, None] * (GRID - mean))
+            rate += rates.sum(0)
+            moved += slope[i : i + 8192] @ rates
+        out = np.full(SLOTS, np.nan)
+        out[slots] = slope
+        return cls(out, np.maximum.accumulate(moved / rate))
+
+    def levels(self, starts: np.ndarray, slots: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The level of each document (a run of items from ``starts``), NaN where none of its items is known."""
+        slope = self.slope[slots]
+        known = ~np.isnan(slope)
+        rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slots))))[known]
+        weight = np.sqrt(n[known])  # an item that recurs in a document is no new witness each time
+        total = np.bincount(rows, weight, len(starts))
+        mean = np.bincount(rows, weight * slope[known], len(starts)) / np.maximum(total, 1e-12)
+        return np.where(total > 0, np.interp(mean, self.expected, GRID), np.nan)
 
 
 def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,81 +156,50 @@ def features(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return df.select(row_id, F.col(text).alias("_t")).mapInPandas(run, f"`{row_id}` {kind}, slots array<int>, n array<int>, n_words int")
 
 
-def _calibration(rows: DataFrame, model: object) -> tuple[float, float]:
-    """The line that takes estimated levels to the labels', over all labelled rows: estimates lean towards the middle, and without it each round
-    would draw the levels further together."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        difficulty, weight, _ = model.value
-        for batch in batches:
-            if len(batch):
-                x, y = _levels(*_flat(batch), difficulty, weight), batch["label"].to_numpy("f8")
-                x, y = x[~np.isnan(x)], y[~np.isnan(x)]
-                yield pd.DataFrame({"n": [float(len(x))], "x": [x.sum()], "y": [y.sum()], "xx": [x @ x], "xy": [x @ y]})
-
-    sums = rows.where("label IS NOT NULL").select("slots", "n", "label").mapInPandas(run, "n double, x double, y double, xx double, xy double")
-    n, x, y, xx, xy = (v or 0.0 for v in sums.agg(*[F.sum(c) for c in ("n", "x", "y", "xx", "xy")]).first())
-    var = xx - x * x / n if n else 0.0
-    slope = (xy - x * y / n) / var if var > 1e-9 else 1.0
-    slope = slope if slope > 0.1 else 1.0
-    return ((y - slope * x) / n if n else 0.0), slope
-
-
-def _item_sums(rows: DataFrame, model: object, anchored_only: bool) -> DataFrame:
-    """By slot: weight, level, squared level, and the score of the items' equation."""
+def _sums(rows: DataFrame, model: object | None) -> DataFrame:
+    """By slot: occurrences and the sum of their levels; under -1 - k all occurrences in bin k of levels. Without a ``model`` of labelled documents
+    only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        difficulty, weight, (shift, slope) = model.value
-        sums = np.zeros((5, SLOTS))
+        seen, sums, exposure = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(len(BINS))
         for batch in batches:
             if not len(batch):
                 continue
             starts, slots, n = _flat(batch)
             level = batch["label"].to_numpy("f8")
             witness = np.where(np.isnan(level), UNLABELLED, 1.0)
-            if not anchored_only:
-                guess = np.clip(shift + slope * _levels(starts, slots, n, difficulty, weight), 0.5, LEVELS + 0.5)
-                level = np.where(np.isnan(level), guess, level)
-            rows_ = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slots))))
-            each = level[rows_]
-            fine = ~np.isnan(each)
-            # a long document is one witness, not hundreds
-            s, v, w = slots[fine], each[fine], np.sqrt(n[fine]) * witness[rows_][fine]
-            d = difficulty[s]
-            p = 1 / (1 + np.exp(-(v - np.where(np.isnan(d), v, d)) / SPREAD))
-            for k, x in enumerate((w, w * v, w * v * v, w * (p - 0.5), w * p * (1 - p) / SPREAD)):
-                sums[k] += np.bincount(s, x, SLOTS)
-        at = np.flatnonzero(sums[0])
-        yield pd.DataFrame({"slot": at, "w": sums[0, at], "wv": sums[1, at], "wvv": sums[2, at], "g": sums[3, at], "h": sums[4, at]})
-
-    source = rows.where("label IS NOT NULL") if anchored_only else rows
-    parts = source.select("slots", "n", "label").mapInPandas(run, "slot int, w double, wv double, wvv double, g double, h double")
-    return parts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("w", "wv", "wvv", "g", "h")])
-
-
-def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Difficulties (NaN where unknown) and weights by slot, from rows of ``features`` with a ``label`` (null: not an anchor)."""
+            if model is not None:
+                level = np.where(np.isnan(level), np.clip(model.value.levels(starts, slots, n), 0.5, LEVELS + 0.5), level)
+            row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slots))))
+            fine = ~np.isnan(level[row])
+            s, v, w = slots[fine], level[row][fine], np.sqrt(n[fine]) * witness[row][fine]
+            seen += np.bincount(s, w, SLOTS)
+            sums += np.bincount(s, w * v, SLOTS)
+            exposure += np.bincount(np.clip(np.rint(v / BINS[1]).astype(int), 0, len(BINS) - 1), w, len(BINS))
+        at, bins = np.flatnonzero(seen), np.flatnonzero(exposure)
+        yield pd.DataFrame({"slot": np.r_[at, -1 - bins], "w": np.r_[seen[at], exposure[bins]], "wv": np.r_[sums[at], np.zeros(len(bins))]})
+
+    source = rows.where("label IS NOT NULL") if model is None else rows
+    parts = source.select("slots", "n", "label").mapInPandas(run, "slot int, w double, wv double")
+    return parts.groupBy("slot").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"))
+
+
+def fit(rows: DataFrame) -> Model | None:
+    """The model of rows of ``features`` with a ``label`` (null: not an anchor); None without any label."""
     context = rows.sparkSession.sparkContext
-    difficulty, weight = np.full(SLOTS, np.nan), np.zeros(SLOTS)
-    for k in range(ROUNDS + 1):
-        line = (0.0, 1.0)
-        if k:
-            before = context.broadcast((difficulty, weight, line))
-            line = _calibration(rows, before)
-            before.unpersist()
-        shared = context.broadcast((difficulty, weight, line))
-        sums = _item_sums(rows, shared, anchored_only=k == 0).toPandas()  # at most SLOTS rows
-        at, w = sums["slot"].to_numpy(), sums["w"].to_numpy()
-        mean = sums["wv"].to_numpy() / w
-        spread = np.maximum(sums["wvv"].to_numpy() / w - mean**2, 0)
-        old = difficulty[at]
-        step = np.clip(sums["g"].to_numpy() / np.maximum(sums["h"].to_numpy(), 1e-9), -1, 1)
-        difficulty, weight = np.full(SLOTS, np.nan), np.zeros(SLOTS)
-        difficulty[at] = np.where(np.isnan(old), mean, old + step)
-        # items whose documents lie far apart tell little; few witnesses are shrunk towards not telling
-        weight[at] = 1 / (0.15 + spread + 1.0 / w) ** 2
-        shared.unpersist()
-    return difficulty, weight
+    model: Model | None = None
+    for _ in range(ROUNDS + 1):
+        shared = None if model is None else context.broadcast(model)
+        sums = _sums(rows, shared).toPandas()  # at most SLOTS rows and one a bin
+        if not len(sums):
+            return None
+        slot, w, wv = (sums[c].to_numpy() for c in ("slot", "w", "wv"))
+        exposure = np.zeros(len(BINS))
+        exposure[-1 - slot[slot < 0]] = w[slot < 0]
+        model = Model.fit(slot[slot >= 0], w[slot >= 0], wv[slot >= 0], exposure)
+        if shared is not None:
+            shared.unpersist()
+    return model
 
 
 def thresholds(levels: np.ndarray, labels: np.ndarray) -> list[float]:
@@ -238,20 +235,24 @@ def reading_levels(df: DataFrame, labels: DataFrame, row_id: str, text: str, lab
     if many > LABELS:
         given = given.where(F.pmod(F.xxhash64(row_id), F.lit(1 << 30)) < int((1 << 30) * LABELS / many))
     rows = stage(rows.join(given, row_id, "left"))
-    model = df.sparkSession.sparkContext.broadcast(fit(rows.where(F.size("slots") > 0)))
+    fitted = fit(rows.where(F.size("slots") > 0))
+    if fitted is None:
+        return rows.select(row_id, "n_words", F.lit(None).cast("double").alias("difficulty"), F.lit(None).cast("int").alias("level"))
+    model = df.sparkSession.sparkContext.broadcast(fitted)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             level = np.full(len(batch), np.nan)
             some = np.flatnonzero(batch["slots"].map(len).to_numpy() > 0)
             if len(some):
-                level[some] = _levels(*_flat(batch.iloc[some]), *model.value)
+                level[some] = model.value.levels(*_flat(batch.iloc[some]))
             yield batch[[row_id, "n_words", "label"]].assign(difficulty=level)
 
     kind = df.schema[row_id].dataType.simpleString()
     scored = rows.mapInPandas(score, f"`{row_id}` {kind}, n_words int, label double, difficulty double")
     scored = stage(scored.withColumn("difficulty", F.nanvl("difficulty", F.lit(None).cast("double"))))
-    known = scored.where("label IS NOT NULL AND difficulty IS NOT NULL").select("difficulty", "label").limit(2 * LABELS).toPandas()
+    # a row for each labelled id, so about LABELS at most
+    known = scored.where("label IS NOT NULL AND difficulty IS NOT NULL").groupBy(row_id).agg(F.avg("difficulty").alias("difficulty"), F.first("label").alias("label")).toPandas()
     if not len(known):
         return scored.select(row_id, "n_words", "difficulty", F.lit(None).cast("int").alias("level"))
     cuts = thresholds(known["difficulty"].to_numpy(), known["label"].to_numpy())
