@@ -1,8 +1,9 @@
 """Text decoded with the wrong character encoding: which records, through which chain, and the text before.
 
-A multinomial classifier over hashed byte bigrams tells correct tokens from those garbled by each known chain of encodings. It is
-trained on tokens of the table itself, garbled here through every chain they can pass. A token that it gives to a chain is
-taken back through it, and counts as garbled only if that decodes strictly and gives likelier text.
+A multinomial classifier over hashed byte bigrams tells correct tokens from those garbled by each known chain of encodings, and from those that lost
+characters when they were decoded. It is trained on tokens of the table itself, garbled here through every chain they can pass. A token that it gives
+to a chain is taken back through it, and counts as garbled only if that decodes strictly and gives likelier text. What the tokens of a text
+say of a chain is summed: the text is garbled if that is evidence enough.
 """
 
 from __future__ import annotations
@@ -74,8 +75,9 @@ _MULTIBYTE = {"utf-8", "gbk", "shift_jis"}
 _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*")
 #: Prior odds against a garbled token, and what taking a token back must gain per byte bigram, in nats.
 PRIOR, GAIN, SURE = 4.0, 0.5, 12.0
-#: Tokens, and share of the tokens beyond ASCII, that chains between one-byte encodings must account for.
-LEAST_TOKENS, LEAST_SHARE = 3, 0.04
+#: What the different words of a text must say together, in nats, for a chain between one-byte encodings: those only exchange letters for others.
+EVIDENCE = 24.0
+LOSSY = len(CHAINS) + 1  # the class of tokens that lost characters
 _EDGE = re.compile(r"^[\x00-\x2f:-@\[-`{-~‘’“”‚„–—…€«»¿¡]+|[\x00-\x2f:-@\[-`{-~‘’“”‚„–—…€«»¿¡]+$")
 _PROVES = [any(step[0] in _MULTIBYTE for step in chain) for chain in CHAINS]
 
@@ -154,7 +156,8 @@ def _bigrams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log probabilities of bigram buckets by class; class 0 is correct text, class k the chain ``CHAINS[k - 1]``."""
+    """Log probabilities of bigram buckets by class; class 0 is correct text, class k the chain ``CHAINS[k - 1]``, the last one text that lost
+    characters."""
 
     def __init__(self, logs: np.ndarray) -> None:
         self.logs = logs
@@ -169,19 +172,19 @@ class Model:
 
     def judge(self, token: str) -> tuple[int, str | None, float]:
         """(class, text before, lead over correct text) of a token; class 0 for correct ones, and no text if it can't be had back."""
-        if "�" in token:
-            return -1, None, np.inf
         scores, n = self.scores([token])
         scores, n = scores[0], max(1, int(n[0]))
         own = (scores[0] - PRIOR) / n
         order = np.argsort(-scores, kind="stable")
-        for k in order[:6]:
+        for k in order:
             if k == 0:
                 return 0, None, 0.0
+            if k == LOSSY:
+                if "�" in token:
+                    return LOSSY, None, float(scores[k] - scores[0])
+                continue
             back = restore(token, CHAINS[k - 1])
-            if back is not None:
-                if back.isascii():
-                    continue
+            if back is not None and not back.isascii():
                 s, m = self.scores([back])
                 if (s[0, 0] - PRIOR) / max(1, int(m[0])) > own + GAIN:
                     return int(k), back, float(scores[k] - scores[0])
@@ -191,7 +194,7 @@ class Model:
 
     def read(self, text: str, known: dict) -> dict[str, tuple[int, str | None, float]]:
         """The garbled tokens of a text. A decoding from several bytes a character proves itself in one token; chains
-        between one-byte encodings only exchange letters, so they must account for much of the text together."""
+        between one-byte encodings only exchange letters, so the different words of the text must be evidence together."""
         count = Counter(_TOKEN.findall(text))
         found, by_class = {}, {}
         for token in count:
@@ -202,14 +205,17 @@ class Model:
                     known[token] = verdict
             if verdict[0]:
                 found[token] = verdict
-                if verdict[0] > 0 and not _PROVES[verdict[0] - 1]:
+                if verdict[0] != LOSSY and not _PROVES[verdict[0] - 1]:
                     by_class.setdefault(verdict[0], []).append(token)
         if by_class:
             swapped = [t for tokens in by_class.values() for t in tokens]
-            # short words and common marks at a word's edge are too easily taken for something else
-            telling = [t for t in swapped if len(_EDGE.sub("", t)) >= 4 and not _EDGE.sub("", t).isascii()]
-            share = sum(count[t] for t in telling) / max(1, sum(n for t, n in count.items() if t not in found or t in swapped))
-            if len(telling) < LEAST_TOKENS or share < LEAST_SHARE or sum(found[t][2] for t in telling) < SURE:
+            # common marks at a word's edge are too easily taken for something else; a word counts once, whatever stands beside it
+            telling = [t for t in swapped if not _EDGE.sub("", t).isascii()]
+            words: dict[str, float] = {}
+            for t in telling:
+                word = _EDGE.sub("", t).lower()
+                words[word] = max(words.get(word, 0.0), found[t][2])
+            if sum(words.values()) < EVIDENCE:
                 for t in swapped:
                     del found[t]
             else:  # the text's main chain decides between chains that a single token can't tell apart
@@ -227,7 +233,7 @@ class Model:
 
 
 def _train(clean: list[str], weights: np.ndarray) -> Model:
-    counts = np.zeros((len(CHAINS) + 1, BUCKETS))
+    counts = np.zeros((len(CHAINS) + 2, BUCKETS))
     bucket, owner = _bigrams(clean)
     counts[0] += np.bincount(bucket, weights[owner], BUCKETS)
     for k, chain in enumerate(CHAINS, 1):
@@ -235,6 +241,10 @@ def _train(clean: list[str], weights: np.ndarray) -> Model:
         if bad:
             bucket, owner = _bigrams([g for g, _ in bad])
             counts[k] += np.bincount(bucket, np.array([w for _, w in bad])[owner], BUCKETS)
+    lost = [(x, w) for t, w in zip(clean, weights) for x in {re.sub(r"[^\x00-\x7f]", "�", t), re.sub(r"[^\x00-\x7f]", "�", t, count=1)}]
+    if lost:
+        bucket, owner = _bigrams([x for x, _ in lost])
+        counts[LOSSY] += np.bincount(bucket, np.array([w for _, w in lost])[owner], BUCKETS)
     smooth = counts + 0.02
     return Model(np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype("f4"))
 
@@ -313,7 +323,7 @@ def garbled(df: DataFrame, row_id: str, text: str, model: Model | None = None) -
                         fixed += found[token][1] is not None
                 after = _TOKEN.sub(lambda m: (found.get(m.group()) or (0, None))[1] or m.group(), body)  # noqa: B023
                 best = max(votes, key=lambda c: (votes[c], c))
-                rows.append((key, "lossy" if best < 0 else NAMES[best - 1], sum(votes.values()), fixed, after))
+                rows.append((key, "lossy" if best == LOSSY else NAMES[best - 1], sum(votes.values()), fixed, after))
             yield pd.DataFrame(rows, columns=["i", "chain", "n_tokens", "n_restored", "restored"])
 
     kind = df.schema[row_id].dataType.simpleString()
