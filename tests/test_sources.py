@@ -167,9 +167,44 @@ def test_failed_ingest_leaves_the_store_alone(spark, tmp_path):
 
 def test_second_writer_fails_on_publishing(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "s"))
-    store._publish(["x"], 0)
+    state = {"parts": [], "done": {}}
+    store._publish(state, 0)
     with pytest.raises(FileExistsError):
-        store._publish(["y"], 0)
+        store._publish(state, 0)
+    # a draft that a dying writer left, and a published version that it told nobody of, block no other
+    store.files.write("_versions/0000000002.json.abc", "{")
+    assert ingest(ChunkStore(spark, str(tmp_path / "s")), _records(spark, {"a": ["one"]}), "ann", "c1")["version"] == 2
+    assert store.version() == 2 and store.read().count() == 1
+
+
+def _files(store):
+    import pathlib
+
+    return {str(p) for p in pathlib.Path(store.root.removeprefix("file:")).rglob("*.parquet")}
+
+
+def test_deletions_touch_only_their_buckets(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=8)
+    ingest(store, _records(spark, {f"f{i}": [f"text {i}", "more"] for i in range(40)}), "ann", "c1")
+    before = _files(store)
+    assert store.delete_by_ids(["f3"], "other") == 1 and store.delete_by_ids(["absent"]) == 1  # nothing to delete, no new version
+    assert store.delete_by_ids(["f3"]) == 2
+    (bucket,) = store._buckets_of(spark.createDataFrame([("f3",)], "id string"), {"of": 8, "keep": None})
+    assert {p.split("/_bucket=")[1].split("/")[0] for p in _files(store) - before} == {str(bucket)}
+    assert store.read().count() == 78 and store.of_files(["f3"]).count() == 0 and store.read(1).count() == 80
+    assert store.delete_by_metadata({"file_id": "f5"}, "c1") == 3 and store.read().count() == 76
+    assert {r["file_id"] for r in store.of_files([f"f{i}" for i in range(40)]).collect()} == {f"f{i}" for i in range(40)} - {"f3", "f5"}
+    assert store.compact() == 4 and store.read().count() == 76 and store.of_files(["f7"]).count() == 2
+
+
+def test_streams_are_told_apart(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    for name in ("a", "b"):
+        _records(spark, {name: ["one"]}).write.parquet(str(tmp_path / name))
+        source = watch(spark, str(tmp_path / name), _records(spark, {}).schema)
+        for _ in range(2):
+            ingest_stream(source, store, "ann", "c", HashingEmbedder(8), str(tmp_path / f"c{name}")).awaitTermination()
+    assert sorted(r["file_id"] for r in store.read().collect()) == ["a", "b"]
 
 
 def test_dedup_profile_replaces_by_store_id(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.operators.filters import compile_filter
@@ -80,12 +80,20 @@ def delete_by_ids(df: DataFrame, ids: Iterable[str] | DataFrame | None, column:
 def delete_by_metadata(df: DataFrame, spec: Mapping[str, object], collection: str, metadata: str = "cmetadata", promoted: Mapping[str, str] | None = None) -> DataFrame:
     """The rows that stay when those of one collection that match every equality of ``spec`` go. A row for which the filter is
     unknown stays."""
+    check_metadata_filter(spec)
+    return df.where(~matches(spec, collection, metadata, promoted))
+
+
+def check_metadata_filter(spec: Mapping[str, object]) -> None:
     if not spec:
         raise ValueError("deleting by metadata needs a filter")
     if any(isinstance(v, Mapping) for v in spec.values()):
         raise ValueError("deleting by metadata takes equalities only")
-    match = compile_filter(spec, metadata, promoted) & (F.col("collection_id") == F.lit(collection))
-    return df.where(~F.coalesce(match, F.lit(False)))
+
+
+def matches(spec: Mapping[str, object], collection: str, metadata: str = "cmetadata", promoted: Mapping[str, str] | None = None) -> Column:
+    """Whether a row is in the collection and fulfils ``spec``; false where that is unknown."""
+    return F.coalesce(compile_filter(spec, metadata, promoted) & (F.col("collection_id") == F.lit(collection)), F.lit(False))
 
 
 def chunk_counts(df: DataFrame, column: str = "custom_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from textlode.plans.ingest import Embedder, chunk_rows
+from textlode.session import ship
 from textlode.sources.store import ChunkStore
 
 
@@ -17,15 +18,17 @@ def watch(spark: SparkSession, folder: str, schema: StructType, files_per_trigge
 
 
 def ingest_stream(stream: DataFrame, store: ChunkStore, user_id: str, collection_id: str, embedder: Embedder, checkpoint: str) -> StreamingQuery:
-    """Append the chunks of every batch of records. The attempt is named after the batch, and a batch
-    that was published before the stream stopped is not published again."""
+    """Append the chunks of every batch of records. The attempt is named after the stream's checkpoint - its query id is kept there - and the batch; the
+    store's version remembers the last batch of each stream, so one that was published before the stream stopped is not published again, and
+    other streams, or one with a new checkpoint, are told apart."""
+    spark = stream.sparkSession
+    ship(spark)
 
     def write(batch: DataFrame, number: int) -> None:
-        attempt = (f"batch{number:016d}", number)
-        rows = store.read()
-        if rows is not None and not rows.where(F.col("attempt_id") == attempt[0]).isEmpty():
-            return
-        store.append(chunk_rows(batch, user_id, collection_id, embedder, attempt))
+        # the id is the checkpoint's, and the same when the stream starts again
+        name = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        attempt = (f"{name}-{number:016d}", number)
+        store.append(chunk_rows(batch, user_id, collection_id, embedder, attempt), name, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
