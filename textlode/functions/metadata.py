@@ -11,13 +11,14 @@ def as_text(metadata: Column, key: str) -> Column:
     return F.get_json_object(metadata, f"$.{key}")
 
 
-def _variant(metadata: Column, key: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(metadata), f"$.{key}", "variant")
+def parsed(metadata: Column) -> Column:
+    """The JSON as a variant: as a column of its own, it is parsed once for all reads."""
+    return F.try_parse_json(metadata)
 
 
-def kind(metadata: Column, key: str) -> Column:
-    """'number', 'string', 'boolean', 'object', 'array' or null."""
-    schema = F.schema_of_variant(_variant(metadata, key))
+def kind(metadata: Column, key: str, variant: Column | None = None) -> Column:
+    """'number', 'string', 'boolean', 'object', 'array' or null; ``variant`` is what ``parsed`` gave, if it was called."""
+    schema = F.schema_of_variant(F.try_variant_get(parsed(metadata) if variant is None else variant, f"$.{key}", "variant"))
     return (
         F.when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|TINYINT|SMALLINT|INT)"), "number").when(schema == "STRING", "string")
         .when(schema == "BOOLEAN", "boolean").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
@@ -29,13 +30,13 @@ def as_number(metadata: Column, key: str) -> Column:
     return F.when(kind(metadata, key) == "number", F.try_variant_get(F.try_parse_json(metadata), f"$.{key}", "double"))
 
 
-def as_string(metadata: Column, key: str) -> Column:
+def as_string(metadata: Column, key: str, variant: Column | None = None) -> Column:
     """The value if it is a JSON string, else null."""
-    return F.when(kind(metadata, key) == "string", as_text(metadata, key))
+    return F.when(kind(metadata, key, variant) == "string", as_text(metadata, key))
 
 
-def as_index(metadata: Column, key: str) -> Column:
+def as_index(metadata: Column, key: str, variant: Column | None = None) -> Column:
     """The value as a long if it is a whole JSON number of at least 0, else null; digits are read from the text, so 19 digits keep
     their precision."""
     text = as_text(metadata, key)
-    return F.when((kind(metadata, key) == "number") & text.rlike(r"^\d{1,18}$|^[1-8]\d{18}$"), text.cast("long"))
+    return F.when((kind(metadata, key, variant) == "number") & text.rlike(r"^\d{1,18}$|^[1-8]\d{18}$"), text.cast("long"))

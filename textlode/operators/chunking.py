@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlode.functions.text import clean_text, digest
+from textlode.operators.skew import rank_within
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1500, 100
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -72,31 +73,18 @@ def chunks_of(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
     return split(text)
 
 
-#: Parts of a file, by a whole-numbered first order column, whose chunks are numbered in one task.
-PART_BLOCK = 4096
-
-
 def prepare(df: DataFrame, text: str, order: Sequence[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, clean: Column | bool = False) -> DataFrame:
     """One row for each chunk: the other columns of ``df``, ``chunk_index`` within the file across its parts in ``order``, ``document`` and ``digest``.
 
-    ``clean`` says where U+0000 is removed - before the digest is taken. ``df`` has ``file_id``. Chunks are counted by file and block of parts,
-    running sums over the blocks give where each begins, and only the parts of a block are sorted together, so a file may own any share of
-    the rows if the first column of ``order`` is a whole number. The splitter runs once more for the counts, which is cheaper than moving texts.
+    ``clean`` says where U+0000 is removed - before the digest is taken. ``df`` has ``file_id``. A file may own any share of the rows: chunks are numbered by
+    ``rank_within``, for which the lengths of the texts tell how many chunks a file has at least, so that nothing is split for counting.
     """
-    numeric = dict(df.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
-    block = F.floor(F.col(order[0]) / F.lit(PART_BLOCK)) if numeric else F.lit(0).cast("bigint")
-    parts = df.withColumn("_chunks", chunks_of(F.col(text), size, overlap)).withColumn("_block", F.coalesce(block, F.lit(-1)))
-    counts = parts.groupBy("file_id", "_block").agg(F.sum(F.size("_chunks")).alias("_n"))
-    earlier = Window.partitionBy("file_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("file_id", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    before = Window.partitionBy("file_id", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_base", F.coalesce(F.sum(F.size("_chunks")).over(before), F.lit(0)))
-    same = parts["file_id"].eqNullSafe(starts["file_id"]) & (parts["_block"] == starts["_block"])
-    parts = parts.join(starts, same).select(*[parts[c] for c in df.columns if c != text], (F.col("_base") + F.col("_start")).alias("_base"), "_chunks")
-    rows = parts.select(*[c for c in df.columns if c != text], "_base", F.posexplode("_chunks").alias("_pos", "document"))
+    parts = df.withColumn("_chunks", chunks_of(F.col(text), size, overlap)).select(*[c for c in df.columns if c != text], F.posexplode("_chunks").alias("_pos", "document"))
+    sizes = df.groupBy("file_id").agg(F.sum(1 + F.coalesce(F.length(text), F.lit(0)) / F.lit(size)).alias("_n"))
+    rows = rank_within(parts, ["file_id"], [*order, "_pos"], "chunk_index", sizes).drop("_pos").withColumn("chunk_index", F.col("chunk_index").cast("int"))
     where = F.lit(clean) if isinstance(clean, bool) else clean
     rows = rows.withColumn("document", F.when(where, clean_text(F.col("document"))).otherwise(F.col("document")))
-    return rows.withColumn("chunk_index", (F.col("_base") + F.col("_pos")).cast("int")).withColumn("digest", digest(F.col("document"))).drop("_base", "_pos")
+    return rows.withColumn("digest", digest(F.col("document")))
 
 
 def new_attempt(now_ns: int) -> tuple[str, int]:

@@ -440,16 +440,18 @@ def context_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.positions(rows).select("uuid", "custom_id", "position")
 
 
-_TURN = "coalesce(x.page > 0 AND a.page <> x.page, false)"
-_SO_FAR = f"(CASE WHEN {_TURN} THEN a.t || chr(10) || '# PAGE ' || x.page || chr(10) || chr(10) ELSE a.t END)"
+_TURN = "(x.page IS NOT NULL AND x.page IS DISTINCT FROM a.page)"
+_SO_FAR = f"(CASE WHEN {_TURN} THEN a.t || chr(10) || '# PAGE ' || x.w || chr(10) || chr(10) ELSE a.t END)"
+_NUMBER = """(CASE WHEN json_type(m, '$.page') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN try_cast(m->>'$.page' AS DOUBLE) WHEN m->>'$.page' = 'true' AND json_type(m, '$.page') = 'BOOLEAN' THEN 1.0 END)"""
+_PAGE_KEY = f"""CASE WHEN {_NUMBER} <> 0 THEN 'n' || {_NUMBER} WHEN json_type(m, '$.page') = 'VARCHAR' AND m->>'$.page' <> '' THEN 's' || (m->>'$.page') END"""
 
 
 @_query(f"""{_ORDERED},
-    c AS (SELECT custom_id, list({{'t': coalesce(document, ''), 'page': CASE WHEN json_type(m, '$.page') = 'UBIGINT' THEN (m->>'$.page')::BIGINT END}} ORDER BY position) AS c,
+    c AS (SELECT custom_id, list({{'t': coalesce(document, ''), 'page': {_PAGE_KEY}, 'w': CASE WHEN json_type(m, '$.page') = 'BOOLEAN' THEN 'True' ELSE m->>'$.page' END}} ORDER BY position) AS c,
               coalesce(list_last(string_split(first(m->>'$.source' ORDER BY position) FILTER (m->>'$.source' IS NOT NULL), '/')) || chr(10), '') AS head
           FROM p GROUP BY custom_id),
     f AS (SELECT custom_id, list_reduce(c, lambda a, x: {{'t': {_SO_FAR} || CASE WHEN suffix({_SO_FAR}, substring(x.t, 1, 100)) THEN substring(x.t, 101) ELSE x.t END,
-              'page': CASE WHEN {_TURN} THEN x.page ELSE a.page END}}, {{'t': head, 'page': (-1)::BIGINT}}) AS f FROM c)
+              'page': CASE WHEN {_TURN} THEN x.page ELSE a.page END, 'w': ''}}, {{'t': head, 'page': NULL::VARCHAR, 'w': ''}}) AS f FROM c)
     SELECT custom_id, md5(regexp_replace(f.t, {_STRIP})) AS digest, length(regexp_replace(f.t, {_STRIP})) AS n FROM f""")
 def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every file, as its fingerprint and length."""
