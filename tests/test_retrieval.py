@@ -155,3 +155,10 @@ def test_json_of_metadata(spark):
     assert [r["t"] for r in rows] == ["5", "5.0", "5", "true", None, "-1", "1755747710726532292", None, None]
     assert [r["k"] for r in rows] == ["number", "number", "string", "boolean", None, "number", "number", None, None]
     assert [r["i"] for r in rows] == [5, None, None, None, None, None, 1755747710726532292, None, None]
+
+
+def test_promoted_keys_compare_by_their_kind(spark):
+    df = spark.createDataFrame([("5", 5, '{"a": "5", "n": 5}'), ("10", 10, '{"a": "10", "n": 10}')], "a string, n int, cmetadata string")
+    for spec in ({"a": {"$gt": 4}}, {"a": {"$gt": "4"}}, {"n": {"$gt": 7}}, {"n": {"$lte": "7"}}, {"n": 5}, {"a": {"$in": [10]}}, {"n": {"$between": [1, 6]}}):
+        plain = df.where(compile_filter(spec)).collect()
+        assert df.where(compile_filter(spec, promoted={"a": "a", "n": ("n", "number")})).collect() == plain, spec

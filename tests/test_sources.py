@@ -236,6 +236,59 @@ def test_files_are_read_from_a_folder(spark, tmp_path):
     assert api.extract(requests, str(folder)).first()["text"] == "hello there"
 
 
+def test_what_is_not_in_the_folder_is_reported(spark, tmp_path):
+    folder = tmp_path / "up"
+    folder.mkdir()
+    (tmp_path / "secret.txt").write_text("secret")
+    (tmp_path / "up-other").mkdir()
+    (tmp_path / "up-other" / "x.txt").write_text("secret")
+    (folder / "link.txt").symlink_to(tmp_path / "secret.txt")
+    (folder / "a b.txt").write_text("fine")
+    paths = ["a b.txt", str(folder / "a b.txt"), "../secret.txt", str(tmp_path / "secret.txt"), "../up-other/x.txt", "link.txt", "absent.txt", None]
+    requests = spark.createDataFrame([(f"f{i}", "a.txt", None, p) for i, p in enumerate(paths)], "file_id string, filename string, file_content_type string, filepath string")
+    out = {r["file_id"]: (r["page_content"], r["error"]) for r in loaders.load(loaders.read_files(requests, str(folder))).collect()}
+    assert out["f0"] == out["f1"] == ("fine", None)
+    assert all(out[f"f{i}"][0] is None and "FileNotFoundError" in out[f"f{i}"][1] for i in range(2, 8))
+
+
+def test_pdf_text_is_cleaned_when_extracted(spark):
+    df = spark.createDataFrame([("a", 0, "x\x00y", "/u/a.pdf"), ("b", 0, "x\x00y", "/u/b.txt")], "file_id string, part_index int, page_content string, source string")
+    assert {r["file_id"]: r["text"] for r in loaders.extract_text(df).collect()} == {"a": "xy", "b": "x\x00y"}
+
+
+def test_searches_keep_to_their_collection(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    for collection in ("c1", "c2"):
+        ingest(store, _records(spark, {"a": [f"alpha {collection}"]}), "ann", collection)
+    api = service.Service(store, collection="c1")
+    assert [r["document"] for r in api.query("alpha", "a", user="ann").collect()] == ["alpha c1"]
+    assert [r["document"] for r in api.query("alpha", "a", user="ann", collection="c2").collect()] == ["alpha c2"]
+    assert api.query_multiple("alpha", ["a"]).count() == 1 and service.Service(store).query_multiple("alpha", ["a"]).count() == 2
+
+
+def test_failed_ingest_may_take_whole_files_away(spark, tmp_path):
+    class Broken(HashingEmbedder):
+        def embed(self, texts):
+            raise RuntimeError("provider down")
+
+    store = ChunkStore(spark, str(tmp_path / "s"), "dedup")
+    assert ingest(store, _records(spark, {"a": ["one"], "b": ["two"]}), "ann", "c1")["status"]
+    assert not ingest(store, _records(spark, {"a": ["more"]}), "ann", "c1", Broken(), whole_files=True)["status"]
+    assert [r["file_id"] for r in store.read().collect()] == ["b"]
+
+
+def test_intermediate_tables_go(spark):
+    from pathlib import Path
+
+    from textlode.session import intermediate, shared_dir, stage
+
+    with intermediate(spark):
+        assert stage(spark.range(3)).count() == 3
+        held = set(Path(shared_dir(spark).removeprefix("file://")).glob("stage-*"))
+        assert held
+    assert len(held - set(Path(shared_dir(spark).removeprefix("file://")).glob("stage-*"))) == 1
+
+
 def test_catalog(spark):
     spark.createDataFrame([(1, "x")], "b int, custom_id string").createOrReplaceTempView("some_chunks")
     assert "some_chunks" in service.tables(spark) and service.columns(spark, "some_chunks") == ["b", "custom_id"]
@@ -243,6 +296,12 @@ def test_catalog(spark):
     with pytest.raises(ValueError):
         service.records(spark, "other", ["some_chunks"])
     assert service.search_path("app", "x, app,public") == ["app", "x", "public"]
+    assert service.use_schemas(spark, "default") == ["default"]
+    assert service.find_table(spark, "some_chunks", ["default"]).count() == 1 if spark.catalog.tableExists("default.some_chunks") else True
+    with pytest.raises(NotFound):
+        service.use_schemas(spark, "default", "nowhere")
+    with pytest.raises(NotFound):
+        service.find_table(spark, "nothing", ["default"])
 
 
 def test_streams(spark, tmp_path):

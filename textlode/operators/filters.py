@@ -20,8 +20,9 @@ COMPARISONS = {"$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le
 OPERATORS = ("$eq", "$ne", "$in", "$nin", *COMPARISONS, "$between", "$like", "$ilike")
 
 
-def compile_filter(spec: Mapping, metadata: str = "cmetadata", promoted: Mapping[str, str] | None = None) -> Column:
-    """The predicate of ``spec`` over the JSON column ``metadata``; ``promoted`` maps keys to text columns that hold them.
+def compile_filter(spec: Mapping, metadata: str = "cmetadata", promoted: Mapping[str, str | tuple[str, str]] | None = None) -> Column:
+    """The predicate of ``spec`` over the JSON column ``metadata``; ``promoted`` maps keys to the columns that hold them: a name for a column of JSON
+    strings, or (name, "number") for one of JSON numbers.
 
     Equality compares text: the value's ``str`` with the JSON text. ``$ne`` and ``$nin`` are not true where the key is missing.
     Order comparisons hold between numbers or between strings only. An empty filter is true.
@@ -51,7 +52,8 @@ def _part(field: object, value: object, metadata: str, promoted: Mapping[str, st
         if op not in OPERATORS:
             raise ValueError(f"unknown operator {op!r}; one of {OPERATORS}")
     own = promoted.get(field)
-    text = F.col(own) if own else M.as_text(F.col(metadata), field)
+    own, own_kind = own if isinstance(own, tuple) else (own, "string")
+    text = F.col(own).cast("string") if own_kind == "number" else F.col(own) if own else M.as_text(F.col(metadata), field)
     if op == "$eq":
         return text == F.lit(str(operand))
     if op == "$ne":
@@ -66,10 +68,11 @@ def _part(field: object, value: object, metadata: str, promoted: Mapping[str, st
     bounds = operand if op == "$between" else [operand]
     if not isinstance(bounds, (list, tuple)) or len(bounds) != (2 if op == "$between" else 1):
         raise ValueError("$between takes two bounds")
+    # a comparison of a number with a string is unknown, wherever the value is kept
     if all(isinstance(b, (int, float)) and not isinstance(b, bool) for b in bounds):
-        typed = (text if own else M.as_number(F.col(metadata), field)).try_cast("double") if own else M.as_number(F.col(metadata), field)
+        typed = M.as_number(F.col(metadata), field) if not own else F.col(own) if own_kind == "number" else F.lit(None).cast("double")
     elif all(isinstance(b, str) for b in bounds):
-        typed = text if own else M.as_string(F.col(metadata), field)
+        typed = M.as_string(F.col(metadata), field) if not own else text if own_kind == "string" else F.lit(None).cast("string")
     else:
         raise ValueError(f"{op} compares numbers or strings")
     if op == "$between":

@@ -13,16 +13,18 @@ from textlode.operators.filters import compile_filter
 
 def top_k(
     df: DataFrame, vector: Sequence[float], k: int = 4, metric: str = "cosine", where: Mapping | Column | None = None, *, vector_column: str = "embedding",
-    row_id: str = "uuid", metadata: str = "cmetadata", promoted: Mapping[str, str] | None = None, profile: str = "columnar",
+    row_id: str = "uuid", metadata: str = "cmetadata", promoted: Mapping[str, str | tuple[str, str]] | None = None, profile: str = "columnar", collection: str | None = None,
 ) -> DataFrame:
     """The ``k`` rows nearest to ``vector`` with their ``score``, nearest first, ties to the smaller id.
 
-    ``where`` filters before the search. In the ``columnar`` profile the score is a distance, in the ``dedup`` profile a similarity from 0 to 1.
+    ``where`` filters before the search, and ``collection`` keeps it to one collection. In the ``columnar`` profile the score is a distance, in the ``dedup`` profile a similarity from 0 to 1.
     Rows without a vector, or one of another dimension, are no candidates; NaN distances (zero vectors) come last.
     Plans to one scan with a bounded sort in each task; only ``k`` rows a task are exchanged.
     """
     if k < 0:
         raise ValueError("k must not be negative")
+    if collection is not None:
+        df = df.where(F.col("collection_id") == F.lit(collection))
     if where is not None:
         df = df.where(where if isinstance(where, Column) else compile_filter(where, metadata, promoted))
     v = F.col(vector_column)

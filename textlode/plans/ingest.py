@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlode.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, new_attempt, prepare, tag
+from textlode.session import ship
 from textlode.sources.formats import extension
 from textlode.sources.store import ChunkStore
 
@@ -88,16 +89,22 @@ def chunk_rows(
     )
 
 
-def ingest(store: ChunkStore, records: DataFrame, user_id: Column | str, collection_id: str, embedder: Embedder | None = None, **kwargs: int) -> dict[str, object]:
+def ingest(
+    store: ChunkStore, records: DataFrame, user_id: Column | str, collection_id: str, embedder: Embedder | None = None, whole_files: bool = False, **kwargs: int,
+) -> dict[str, object]:
     """Store all chunks of ``records`` in one attempt and report it.
 
     The rows appear all at once when the attempt is published; if anything fails before, none do, rows of earlier attempts
-    stay as they were, and the report has ``status`` False with the error.
+    stay as they were, and the report has ``status`` False with the error. With ``whole_files``, as the flat profile may want it, a failed ingestion
+    takes all rows of its files away, those of earlier attempts too.
     """
+    ship(records.sparkSession)
     attempt = new_attempt(time.time_ns())
     try:
         rows = chunk_rows(records, user_id, collection_id, embedder or HashingEmbedder(), attempt, tagged=store.profile == "columnar", **kwargs)
         version = store.append(rows)
     except Exception as e:  # noqa: BLE001 - reported to the caller as a failed request
+        if whole_files:
+            store.delete_by_ids(records.select("file_id"))
         return {"status": False, "attempt_id": attempt[0], "error": f"{type(e).__name__}: {e}"[:2000]}
     return {"status": True, "attempt_id": attempt[0], "version": version}

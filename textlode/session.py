@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +50,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside the block are removed at its end: for who writes a result and then needs nothing of it.
+
+    >>> with intermediate(spark):
+    ...     near_duplicates(df, "uuid", "document").write.parquet(path)
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for name in _open.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and the files
-    outlive any executor. The tables of a session go when the session's folder does."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and the files outlive any executor. They stay until the
+    innermost ``intermediate`` block ends, or for good outside of one (a temporary folder goes with the process)."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}.parquet"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

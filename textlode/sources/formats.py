@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 #: Extensions of source and plain text files. Fixed values.
 SOURCE_EXTENSIONS = (
-    "go py java sh bat ps1 cmd js ts css cpp hpp h c cs sql log ini pl pm r dart dockerfile env php hs hsc lua nginxconf conf m mm plsql perl rb rs "
-    "db2 scala bash swift vue svelte yml yaml eml ex exs erl tsx jsx lhs"
-).split()
+    "go", "py", "java", "sh", "bat", "ps1", "cmd", "js", "ts", "css", "cpp", "hpp", "h", "c", "cs", "sql", "log", "ini", "pl", "pm", "r", "dart",
+    "dockerfile", "env", "php", "hs", "hsc", "lua", "nginxconf", "conf", "m", "mm", "plsql", "perl", "rb", "rs", "db2", "scala", "bash", "swift", "vue",
+    "svelte", "yml", "yaml", "eml", "ex", "exs", "erl", "tsx", "jsx", "lhs",
+)
 #: Extensions of binary formats, whose content type Markdown can't override. Fixed values.
 BINARY_EXTENSIONS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "epub")
 _OFFICE = "application/vnd.openxmlformats-officedocument."

@@ -18,11 +18,13 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlode.functions.text import drop_surrogates
-from textlode.sources.formats import loader
+from textlode.functions.text import clean_text, drop_surrogates
+from textlode.session import ship
+from textlode.sources.formats import extension, loader
+from textlode.sources.paths import safe_path
 
 HEAD = 4096  # bytes looked at to guess an encoding
 _BOMS = [
@@ -280,6 +282,7 @@ def load(manifest: DataFrame, raw: bool = False) -> DataFrame:
 
     A file that can't be read gives one record without text and with ``error``; the others go on. ``source`` is the file's own path.
     """
+    ship(manifest.sparkSession)
     rows = manifest.select("file_id", "path", loader(F.col("filename"), F.col("file_content_type")).alias("kind"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,6 +290,8 @@ def load(manifest: DataFrame, raw: bool = False) -> DataFrame:
         for batch in batches:
             for file_id, path, kind, content in batch.itertuples(index=False):
                 try:
+                    if content is None:
+                        raise FileNotFoundError("no such file in the folder")
                     parts = load_bytes(bytes(content), kind, raw)
                     out = [(file_id, k, t, path, p, json.dumps({"source": path} | ({} if p is None else {"page": p})), None) for k, (t, p) in enumerate(parts)]
                 except Exception as e:  # noqa: BLE001 - one bad file mustn't end the job; what failed is reported
@@ -296,17 +301,44 @@ def load(manifest: DataFrame, raw: bool = False) -> DataFrame:
     return rows.mapInPandas(run, SCHEMA)
 
 
-def read_files(requests: DataFrame, folder: str) -> DataFrame:
-    """The manifest of the files under ``folder`` that ``requests`` (file_id, filename, file_content_type, filepath) name. Files are
-    joined by path, so a file requested again is read once a request."""
-    files = requests.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    files = files.withColumn("filepath", F.regexp_replace("path", r"^file:/*", "/"))
-    return requests.select("file_id", "filename", "file_content_type", "filepath").join(files.drop("path"), "filepath").withColumnRenamed("filepath", "path")
+#: Files up to this number are opened by name; of more, all of the folder are read and the others dropped.
+NAMED_FILES = 10_000
 
 
-def extract_text(records: DataFrame, clean: bool = False) -> DataFrame:
-    """``(file_id, text)``: the verbatim text of each file, its parts each on lines of their own, without newlines at the end."""
-    content = F.replace("page_content", F.lit("\x00"), F.lit("")) if clean else F.col("page_content")
+def read_files(requests: DataFrame, folder: str) -> DataFrame:
+    """The manifest of the files under ``folder`` that ``requests`` (file_id, filename, file_content_type, filepath) name, by a path in the folder or a
+    whole one. A file requested again is there once a request. What isn't a file below the folder, links that lead out of it included, has no content,
+    and ``load`` reports it."""
+    spark = requests.sparkSession
+    base = folder.rstrip("/")
+    path = F.col("filepath")
+    whole = F.when(path.startswith("/") | path.contains("://"), path).otherwise(F.concat(F.lit(f"{base}/"), path))
+    wanted = requests.select("file_id", "filename", "file_content_type", F.regexp_replace(whole, r"^file:/*", "/").alias("path"))
+
+    @F.pandas_udf("boolean")
+    def inside(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: not p.startswith("file:") or safe_path(base.removeprefix("file://"), re.sub("^file:/*", "/", p)) is not None)
+
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    plain = F.regexp_replace("at", r"^file:/*", "/").alias("path")
+    # only names are listed here: no content is read
+    there = reader.load(folder).select(F.col("path").alias("at")).where(inside("at")).select("at", plain)
+    there = there.join(wanted.select("path").distinct(), "path", "left_semi")
+    named = [r["at"] for r in there.select("at").limit(NAMED_FILES + 1).collect()]
+    if len(named) > NAMED_FILES:
+        files = reader.load(folder).select(F.col("path").alias("at"), "content").join(there.select("at"), "at", "left_semi")
+    elif named:
+        files = reader.load(named).select(F.col("path").alias("at"), "content")
+    else:
+        files = spark.createDataFrame([], "at string, content binary")
+    return wanted.join(files.select(plain, "content"), "path", "left").select("file_id", "filename", "file_content_type", "path", "content")
+
+
+def extract_text(records: DataFrame, clean: Column | bool = False) -> DataFrame:
+    """``(file_id, text)``: the verbatim text of each file, its parts each on lines of their own, without newlines at the end. ``clean`` says
+    where U+0000 is removed; text of PDF files is always cleaned."""
+    pdf = F.coalesce(extension(F.col("source")) == "pdf", F.lit(False))
+    content = F.when(pdf | (F.lit(clean) if isinstance(clean, bool) else clean), clean_text(F.col("page_content"))).otherwise(F.col("page_content"))
     parts = F.array_sort(F.collect_list(F.struct("part_index", content.alias("t"))))
     joined = F.array_join(F.transform(parts, lambda p: F.concat(p["t"], F.lit("\n"))), "")
     return records.where("page_content IS NOT NULL").groupBy("file_id").agg(F.rtrim(joined, F.lit("\n")).alias("text"))

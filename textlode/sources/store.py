@@ -182,7 +182,7 @@ class ChunkStore:
         after = self._without(state, hit, rest, ids)
         return base if after["parts"] == state["parts"] else self._publish(after, base)
 
-    def delete_by_ids(self, ids: Iterable[str] | None, collection: str | None = None) -> int:
+    def delete_by_ids(self, ids: Iterable[str] | DataFrame | None, collection: str | None = None) -> int:
         """Delete the files' rows, of all collections or of one; the version stays if there are none."""
         base = self.version()
         if ids is None:
