@@ -13,7 +13,7 @@ from textlode.functions.text import basename, clean_text, digest, store_id, stri
 from textlode.functions.vectors import usable
 from textlode.operators import chunking, context, filters, lookup, search
 from textlode.plans.ingest import HashingEmbedder, embed
-from textlode.sources import formats, loaders, store
+from textlode.sources import formats, store
 from textlode.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,15 @@ def search_where_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search.top_k(rows, vector, K, where={"user_id": "public"}))
 
 
+@_query(f"""{_CHUNK_HITS} SELECT uuid, custom_id, round(d, 6) AS score FROM h
+    WHERE uuid IN (SELECT uuid FROM langchain_pg_embedding WHERE collection_id IN (SELECT uuid FROM langchain_pg_collection WHERE name = 'testcollection')) ORDER BY d, uuid LIMIT {K}""")
+def search_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search within one collection."""
+    rows, vector = _usable_chunks(spark, sf_dir)
+    named = table(spark, sf_dir, "langchain_pg_collection").where("name = 'testcollection'").first()
+    return _hits(search.top_k(rows, vector, K, collection=named["uuid"] if named else ""))
+
+
 @_query(f"{_CHUNK_HITS} SELECT uuid, custom_id, round(d, 6) AS score FROM h WHERE m->>'$.page' IN ('0', '1', '2') ORDER BY d, uuid LIMIT {K}")
 def search_where_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, vector = _usable_chunks(spark, sf_dir)
@@ -250,11 +259,6 @@ def fetch_by_custom_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.fetch_by_ids(_chunks(spark, sf_dir), [LARGE_FILE]).select("uuid", "custom_id", "document")
 
 
-@_query("SELECT uuid, name, cmetadata FROM langchain_pg_collection")
-def dump_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "langchain_pg_collection").select("uuid", "name", "cmetadata")
-
-
 @_query(f"SELECT uuid FROM langchain_pg_embedding WHERE custom_id IS NULL OR custom_id NOT IN ({_CSV} AND file_id IS NOT NULL)")
 def delete_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.delete_by_ids(_chunks(spark, sf_dir), _csv_files(spark, sf_dir)).select("uuid")
@@ -306,11 +310,11 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest_by_store_id(rows)
 
 
-@_query(f"SELECT uuid FROM langchain_pg_embedding WHERE custom_id IS NOT NULL AND custom_id <> '{LARGE_FILE}' AND NOT coalesce(cmetadata::JSON->>'$.user_id' = 'public' AND collection_id = {_ARCHIVE}, false)")
+@_query(f"SELECT uuid FROM langchain_pg_embedding WHERE custom_id IS DISTINCT FROM '{LARGE_FILE}' AND NOT coalesce(cmetadata::JSON->>'$.user_id' = 'public' AND collection_id = {_ARCHIVE}, false)")
 def store_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a chunk store holds after all chunks were stored, a file was deleted, and then chunks by metadata."""
-    kept = store.ChunkStore(spark, f"{shared_dir(spark).removeprefix('file://')}/store-{uuid4().hex}", buckets=8)
-    rows = _chunks(spark, sf_dir).where("custom_id IS NOT NULL").select("uuid", F.col("custom_id").alias("file_id"), "collection_id", "cmetadata")
+    kept = store.ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid4().hex}", buckets=8)
+    rows = _chunks(spark, sf_dir).select("uuid", F.col("custom_id").alias("file_id"), "collection_id", "cmetadata")
     kept.append(rows)
     kept.delete_by_ids([LARGE_FILE])
     named = table(spark, sf_dir, "langchain_pg_collection").where("name = 'testcollection'").first()
@@ -321,8 +325,8 @@ def store_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT uuid, document FROM langchain_pg_embedding WHERE custom_id = '{LARGE_FILE}'")
 def store_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file's chunks from a store: one bucket is read."""
-    kept = store.ChunkStore(spark, f"{shared_dir(spark).removeprefix('file://')}/store-{uuid4().hex}", buckets=8)
-    kept.append(_chunks(spark, sf_dir).where("custom_id IS NOT NULL").select("uuid", F.col("custom_id").alias("file_id"), "document"))
+    kept = store.ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid4().hex}", buckets=8)
+    kept.append(_chunks(spark, sf_dir).select("uuid", F.col("custom_id").alias("file_id"), "document"))
     return kept.of_files([LARGE_FILE]).select("uuid", "document")
 
 
@@ -369,30 +373,9 @@ def stream_requests_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@_query("""
-    SELECT record_id, md5(replace(page_content, chr(13) || chr(10), chr(10))) AS digest FROM document_model
-    WHERE page_content IS NOT NULL AND regexp_matches(lower(metadata::JSON->>'$.source'), '\\.(txt|json|log)$')""")
-def load_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of text files, read by their loader from bytes."""
-    source = F.get_json_object("metadata", "$.source")
-    rows = table(spark, sf_dir, "document_model").where(F.col("page_content").isNotNull() & F.lower(source).rlike(r"\.(txt|json|log)$"))
-    files = rows.select(F.col("record_id").cast("string").alias("file_id"), basename(source).alias("filename"), F.lit(None).cast("string").alias("file_content_type"), source.alias("path"), F.encode("page_content", "UTF-8").alias("content"))
-    return loaders.load(files).select(F.col("file_id").cast("long").alias("record_id"), digest(F.col("page_content")).alias("digest"))
-
-
 # ---------------------------------------------------------------- chunking and context
 
 
-@_query(f"""
-    SELECT record_id, s AS document, md5(s) AS digest FROM (SELECT record_id, page_content, regexp_replace(page_content, {_STRIP}) AS s FROM document_model)
-    WHERE length(page_content) < 1500 AND s <> ''""")
-def split_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts below the chunk size: one chunk each."""
-    rows = table(spark, sf_dir, "document_model").where(F.length("page_content") < chunking.CHUNK_SIZE).select("record_id", "page_content")
-    rows = rows.select("record_id", F.explode(chunking.chunks_of(F.col("page_content"))).alias("document"))
-    return rows.select("record_id", "document", digest(F.col("document")).alias("digest"))
-
-
 @_query()
 def split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk of every record, with its digest."""
