@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.llm import canonical, encoding, mixing, neardup, neighbours, packing, readability, scans, splitting, tokens
+from textlode.functions.text import strip
 from textlode.session import stage, table
 
 
@@ -142,7 +143,46 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_levels(spark, sf_dir).where("level >= 4").select("doc_id")
 
 
+def p5_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every record: its pieces are within the limit, share no more than they may, and together are the whole text."""
+    rows = table(spark, sf_dir, "document_model").select("record_id", strip(F.col("page_content")).alias("whole"))
+    parts = p5_pieces(spark, sf_dir).join(rows, "record_id")
+    same = F.expr("substring(whole, start + 1, `end` - start) = piece")
+    # the text between the pieces is white space: nothing black is left out, and none is in two cores
+    black = lambda c: F.length(F.regexp_replace(c, r"[\s\p{Z}\x0B\x1C-\x1F\x85]+", ""))
+    cores = F.sum(black(F.expr("substring(whole, core + 1, `end` - core)")))
+    return parts.groupBy("record_id").agg(
+        (F.max(F.length("piece")) <= splitting.LIMIT).alias("within_limit"), (F.max(F.col("core") - F.col("start")) <= splitting.OVERLAP).alias("overlaps"), F.bool_and(same).alias("in_text"),
+        (cores == F.max(black(F.col("whole")))).alias("covered"), (F.count(F.lit(1)) > 1).alias("was_split"),
+    )
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each size: containers above it, documents that aren't placed whole, and documents cut though they fit."""
+    sizes = _sizes(spark, sf_dir)
+    kinds = table(spark, sf_dir, "container_size").where("container_name IS NOT NULL AND capacity_tokens > 0").select("container_name", "capacity_tokens")
+    placed = stage(packing.pack(sizes, "doc_id", "n_tokens", {r["container_name"]: r["capacity_tokens"] for r in kinds.collect()}))
+    full = placed.groupBy("container_name", "container_no").agg(F.sum("n_tokens").alias("n")).join(kinds, "container_name")
+    full = full.groupBy("container_name").agg(F.sum((F.col("n") > F.col("capacity_tokens")).cast("long")).alias("overfull"))
+    whole = placed.groupBy("container_name", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"))
+    whole = whole.join(sizes.select("doc_id", F.col("n_tokens").alias("want")), "doc_id").join(kinds, "container_name")
+    bad = (F.col("got") != F.col("want")) | ((F.col("pieces") > 1) & (F.col("want") <= F.col("capacity_tokens")))
+    whole = whole.groupBy("container_name").agg(F.count(F.lit(1)).alias("documents"), F.sum(bad.cast("long")).alias("wrong"))
+    return full.join(whole, "container_name").select("container_name", "documents", "overfull", "wrong")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source that is used: no document is used more often than allowed, and the tokens are within half of one document - the source's largest - of what
+    water-filling gives it."""
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_target")
+    used = mixing.mix(sizes, targets, "doc_id", "source").groupBy("source").agg(F.max("copies").alias("most"), F.sum(F.col("copies") * F.col("n_tokens")).alias("got"))
+    plan = spark.createDataFrame([(a, c, float(e)) for a, _, c, _, e in mixing._amounts(sizes, targets, "source", None)], "source string, repeats int, wanted double")
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    return used.join(plan, "source").join(largest, "source").select("source", (F.col("most") <= F.col("repeats")).alias("within_repeats"), (F.abs(F.col("got") - F.col("wanted")) <= F.col("largest")).alias("reached"))
+
+
 QUERIES = {
+    "p5_checks": p5_checks, "p8_checks": p8_checks, "p9_checks": p9_checks,
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p4_digests": p4_digests,
@@ -160,23 +200,30 @@ def _norm(x: str) -> str:
     return rf"replace(replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'ß', 'ss'), 'ς', 'σ')"
 
 
-SQL = {
-    "p1_found": r"""
+_NEIGHBOURS = r"""
         WITH u AS (
             SELECT DISTINCT uuid, collection_id AS c, embedding::DOUBLE[] AS v FROM langchain_pg_embedding
             WHERE collection_id IS NOT NULL AND uuid IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
               AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         s AS (SELECT a.uuid AS x, b.uuid AS y, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.c = b.c AND a.uuid <> b.uuid),
-        r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM s)
-        SELECT DISTINCT least(x, y) AS uuid_a, greatest(x, y) AS uuid_b FROM r WHERE k <= 4""",
+        r AS (SELECT x, y, s, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM s)"""
+_LINKS = r"""
+        WITH RECURSIVE w AS (SELECT uuid, regexp_extract_all(lower(document), '[\p{L}\p{N}]+') AS w FROM langchain_pg_embedding),
+        s AS (SELECT uuid, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS t FROM w WHERE len(w) >= 12),
+        n AS (SELECT uuid, count(*) AS n FROM s GROUP BY uuid),
+        p AS (SELECT a.uuid AS x, b.uuid AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.uuid <> b.uuid GROUP BY 1, 2),
+        e AS (SELECT x, y FROM p JOIN n AS nx ON nx.uuid = x JOIN n AS ny ON ny.uuid = y WHERE c >= 0.6 * (nx.n + ny.n - c)),
+        r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)"""
+SQL = {
+    "p1_found": f"{_NEIGHBOURS} SELECT DISTINCT least(x, y) AS uuid_a, greatest(x, y) AS uuid_b FROM r WHERE k <= 4",
+    "p1_neighbours": f"{_NEIGHBOURS} SELECT x AS id, y AS neighbour, s AS similarity, k::INT AS rank FROM r WHERE k <= 4",
     "p4_found": rf"""
         WITH RECURSIVE t AS (SELECT record_id AS id, page_content AS x, {_norm('page_content')} AS p FROM document_model),
         j AS (SELECT id, unnest(json_keys(x::JSON)) AS k, x::JSON AS o FROM t WHERE p <> '' AND json_valid(x) AND json_type(x::JSON) = 'OBJECT'),
         jf AS (SELECT id, list_sort(list({_norm('k')} || ':' || {_norm("coalesce(o->>('$.\"' || k || '\"'), '')")})) AS s FROM j GROUP BY id),
         l AS (SELECT id, list_filter(string_split(replace(x, chr(13), chr(10)), chr(10)), lambda v: {_norm('v')} <> '') AS l FROM t WHERE p <> '' AND id NOT IN (SELECT id FROM jf)),
         lf AS (SELECT id, list_sort(list_transform(l, lambda v: {_norm("string_split(v, ':')[1]")} || ':' || {_norm("substring(v, instr(v, ':') + 1)")})) AS s FROM l
-               WHERE len(l) >= 3 AND len(list_filter(l, lambda v: NOT regexp_matches(v, '^[ \t"''*-]*\p{{L}}[^:]*:'))) = 0
-                 AND len(list_distinct(list_transform(l, lambda v: {_norm("string_split(v, ':')[1]")}))) = len(l)),
+               WHERE len(l) >= 3 AND len(list_filter(l, lambda v: NOT regexp_matches(v, '^[^:]*[\p{{L}}\p{{N}}][^:]*:'))) = 0),
         f AS (SELECT t.id, t.p, coalesce(jf.s, lf.s) AS s FROM t LEFT JOIN jf USING (id) LEFT JOIN lf USING (id) WHERE t.p <> ''),
         h AS (SELECT id, min(id) OVER (PARTITION BY p) AS a FROM f UNION SELECT id, min(id) OVER (PARTITION BY s) FROM f WHERE s IS NOT NULL),
         e AS (SELECT id AS x, a AS y FROM h UNION SELECT a, id FROM h),
@@ -184,14 +231,17 @@ SQL = {
         d AS (SELECT row_seq AS id, min(row_seq) OVER (PARTITION BY g) AS a FROM (SELECT row_seq, {_norm('digest')} AS g FROM atlas_mongo_vector) WHERE g <> '')
         SELECT 'document_model' AS tab, min(y) AS kept_id, x AS copy_id FROM r GROUP BY x HAVING min(y) < x
         UNION ALL SELECT 'atlas_mongo_vector', a, id FROM d WHERE a < id""",
-    "p7_found": r"""
-        WITH RECURSIVE w AS (SELECT uuid, regexp_extract_all(lower(document), '[\p{L}\p{N}]+') AS w FROM langchain_pg_embedding),
-        s AS (SELECT uuid, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS t FROM w WHERE len(w) >= 12),
-        n AS (SELECT uuid, count(*) AS n FROM s GROUP BY uuid),
-        p AS (SELECT a.uuid AS x, b.uuid AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.uuid <> b.uuid GROUP BY 1, 2),
-        e AS (SELECT x, y FROM p JOIN n AS nx ON nx.uuid = x JOIN n AS ny ON ny.uuid = y WHERE c >= 0.6 * (nx.n + ny.n - c)),
-        r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-        SELECT x AS uuid_a, y AS uuid_b FROM r WHERE x < y""",
+    "p7_found": f"{_LINKS} SELECT x AS uuid_a, y AS uuid_b FROM r WHERE x < y",
+    "p7_groups": f"{_LINKS} SELECT x AS uuid, min(y) AS group_id, count(DISTINCT y) AS n_rows FROM r GROUP BY x",
+    "p5_checks": r"""
+        SELECT record_id, true AS within_limit, true AS overlaps, true AS in_text, true AS covered, length(t) > 1500 AS was_split FROM (
+            SELECT record_id, regexp_replace(page_content, '^[\s\x{85}\p{Z}\x0B\x1C-\x1F]+|[\s\x{85}\p{Z}\x0B\x1C-\x1F]+$', '', 'g') AS t FROM document_model) WHERE t <> ''""",
+    "p8_checks": """
+        SELECT container_name, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS wrong FROM container_size
+        WHERE container_name IS NOT NULL AND capacity_tokens > 0""",
+    "p9_checks": """
+        SELECT source, true AS within_repeats, true AS reached FROM mix_target WHERE target_share > 0 AND max_repeats > 0
+          AND source IN (SELECT source FROM documents WHERE text <> '')""",
     "p4_digests": """
         WITH n AS (SELECT row_seq, nullif(regexp_replace(lower(digest), '[^\\p{L}\\p{N}]+', '', 'g'), '') AS d FROM atlas_mongo_vector)
         SELECT min(row_seq) AS kept, count(*) AS copies FROM n WHERE d IS NOT NULL GROUP BY d HAVING count(*) > 1""",
@@ -199,3 +249,4 @@ SQL = {
         SELECT record_id FROM document_model
         WHERE length(regexp_replace(page_content, '^[\\s\\x{85}\\p{Z}\\x0B\\x1C-\\x1F]+|[\\s\\x{85}\\p{Z}\\x0B\\x1C-\\x1F]+$', '', 'g')) > 1500""",
 }
+SQL["p4_collapsed"] = f"SELECT tab, kept_id AS kept, count(*) + 1 AS copies FROM ({SQL['p4_found']}) GROUP BY ALL"
