@@ -251,6 +251,21 @@ def test_what_is_not_in_the_folder_is_reported(spark, tmp_path):
     assert all(out[f"f{i}"][0] is None and "FileNotFoundError" in out[f"f{i}"][1] for i in range(2, 8))
 
 
+def test_pdf_fonts_with_tables_of_codes():
+    table = b"""/CIDInit /ProcSet findresource begin 1 begincodespacerange <0000> <FFFF> endcodespacerange
+        2 beginbfchar <0003> <0020> <0010> <00660069> endbfchar 2 beginbfrange <0024> <0028> <0041> <0050> <0051> [<03B1> <D835DC00>] endbfrange"""
+    single = b"1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfrange <01> <03> <0430> endbfrange"
+    content = b"BT /F1 12 Tf <00240003002500100050> Tj 0 -14 Td /F2 9 Tf (\\001\\002\\003) Tj 0 -14 Td /F3 9 Tf (plain) Tj [<0051>] TJ ET"
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /ProcSet [/PDF] /Font << /F1 5 0 R /F2 6 0 R /F3 9 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", b"<< /Length 1 /Filter /FlateDecode >>\nstream\n" + zlib.compress(content) + b"\nendstream",
+        b"<< /Type /Font /Subtype /Type0 /ToUnicode 7 0 R >>", b"<< /Type /Font /ToUnicode 8 0 R >>", b"<< /Length 1 >>\nstream\n" + table + b"\nendstream",
+        b"<< /Length 1 >>\nstream\n" + single + b"\nendstream", b"<< /Type /Font /Subtype /Type1 >>",
+    ]
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1))
+    assert loaders.read_pdf(data) == [("A Bfiα\nабв\nplainQ", 0)]
+
+
 def test_pdf_text_is_cleaned_when_extracted(spark):
     df = spark.createDataFrame([("a", 0, "x\x00y", "/u/a.pdf"), ("b", 0, "x\x00y", "/u/b.txt")], "file_id string, part_index int, page_content string, source string")
     assert {r["file_id"]: r["text"] for r in loaders.extract_text(df).collect()} == {"a": "xy", "b": "x\x00y"}

@@ -198,21 +198,60 @@ def read_rst(data: bytes) -> list[Part]:
 
 
 _PDF_STRING = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>")
-_PDF_TEXT = re.compile(rb"((?:\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\")|\[(?:\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|[^\]])*\]\s*TJ)|(-?[\d.]+\s+-?[\d.]+\s+T[dD])|(T\*|\bET\b|(?:-?[\d.]+\s+){6}Tm)", re.S)
+_PDF_TEXT = re.compile(rb"((?:\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\")|\[(?:\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|[^\]])*\]\s*TJ)|(-?[\d.]+\s+-?[\d.]+\s+T[dD])|(T\*|\bET\b|(?:-?[\d.]+\s+){6}Tm)|/([^\s/<>\[\]()]+)\s+-?[\d.]+\s+Tf", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _pdf_string(token: bytes) -> str:
+def _pdf_bytes(token: bytes) -> bytes:
+    """The bytes of a string in hexadecimal or literal form."""
     if token.startswith(b"<"):
         digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
+
+
+def _pdf_string(token: bytes, codes: tuple[int, dict[int, str]] | None = None) -> str:
+    """The text of a string: by the font's table of codes, else as its bytes suggest."""
+    raw = _pdf_bytes(token)
+    if codes is not None:
+        width, known = codes
+        return "".join(known.get(int.from_bytes(raw[k : k + width], "big"), "") for k in range(0, len(raw), width))
+    if token.startswith(b"<"):
         return raw.decode("utf-16-be", "replace") if len(raw) > 1 and raw[0] == 0 else raw.decode("latin-1")
-    raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
     return raw.decode("utf-16", "replace") if raw.startswith((b"\xfe\xff", b"\xff\xfe")) else raw.decode("cp1252", "replace")
 
 
+_HEX = re.compile(rb"<([0-9A-Fa-f\s]*)>")
+#: Codes of one range that are spelled out, at most: two bytes have no more.
+_RANGE = 1 << 16
+
+
+def _to_unicode(table: bytes) -> tuple[int, dict[int, str]]:
+    """(bytes a code, text by code) of a font's ToUnicode table."""
+
+    def text(digits: bytes) -> str:
+        return _pdf_bytes(b"<" + digits + b">").decode("utf-16-be", "replace")
+
+    space = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f\s]*)>", table)
+    width = max(1, len(_pdf_bytes(b"<" + space[1] + b">"))) if space else 2
+    known: dict[int, str] = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", table, re.S):
+        found = _HEX.findall(block)
+        known |= {int(a, 16): text(b) for a, b in zip(found[::2], found[1::2]) if a.strip()}
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", table, re.S):
+        for lo, hi, first, several in re.findall(rb"<\s*([0-9A-Fa-f]+)\s*>\s*<\s*([0-9A-Fa-f]+)\s*>\s*(?:<([0-9A-Fa-f\s]*)>|\[(.*?)\])", block, re.S):
+            start, end = int(lo, 16), int(hi, 16)
+            if several:
+                known |= {start + k: text(d) for k, d in enumerate(_HEX.findall(several))}
+            elif first and 0 <= end - start < _RANGE:
+                base = text(first)
+                known |= {start + k: base[:-1] + chr(min(ord(base[-1]) + k, 0x10FFFF)) for k in range(end - start + 1) if base}
+    return width, known
+
+
 def read_pdf(data: bytes) -> list[Part]:
-    """The text of simply encoded PDF pages, one record a page from 0; images, forms and encrypted files are not read."""
+    """The text of PDF pages, one record a page from 0: by the fonts' ToUnicode tables, else as bytes of common encodings. Images, forms and encrypted
+    files are not read."""
     if not data.lstrip().startswith(b"%PDF"):
         raise Unsupported("not a PDF file")
     if b"/Encrypt" in data:
@@ -247,16 +286,49 @@ def read_pdf(data: bytes) -> list[Part]:
         elif re.search(rb"/Type\s*/Page\b", body):
             yield body
 
+    tables: dict[int, tuple[int, dict[int, str]]] = {}
+
+    def part(body: bytes, name: bytes) -> bytes:
+        """A dictionary inside ``body`` or the object that it refers to; empty if there is none."""
+        at = re.search(rb"/" + name + rb"\s*(?:(\d+)\s+\d+\s+R|<<)", body)
+        if not at:
+            return b""
+        if at[1]:
+            return objects.get(int(at[1]), b"")
+        depth, k = 1, at.end()
+        while depth and k < len(body):  # to the end of nested dictionaries
+            step = body[k : k + 2]
+            depth += (step == b"<<") - (step == b">>")
+            k += 2 if step in (b"<<", b">>") else 1
+        return body[at.end() : k]
+
+    def fonts(page: bytes, depth: int = 0) -> dict[bytes, tuple[int, dict[int, str]]]:
+        """The tables of a page's fonts that have one, by name; resources may be those of a parent."""
+        own = part(part(page, b"Resources"), b"Font")
+        parent = re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", page)
+        if not own and parent and depth < 50:
+            return fonts(objects.get(int(parent[1]), b""), depth + 1)
+        out = {}
+        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", own):
+            table = re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", objects.get(int(number), b""))
+            if table:
+                if int(table[1]) not in tables:
+                    tables[int(table[1])] = _to_unicode(stream(objects.get(int(table[1]), b"")))
+                out[name] = tables[int(table[1])]
+        return out
+
     root = next((re.search(rb"/Pages\s+(\d+)", b) for b in objects.values() if re.search(rb"/Type\s*/Catalog", b)), None)
     found = list(pages(int(root[1]))) if root else [b for b in objects.values() if re.search(rb"/Type\s*/Page\b", b)]
     out = []
     for k, page in enumerate(found):
         content = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+\s+\d+\s+R))", page, re.S)
-        text = []
+        text, by_font, font = [], fonts(page), None
         for ref in re.findall(rb"(\d+)\s+\d+\s+R", (content[1] or content[2]) if content else b""):
             for m in _PDF_TEXT.finditer(stream(objects.get(int(ref), b""))):
-                if m[1]:
-                    text += [_pdf_string(t) for t in _PDF_STRING.findall(m[1])]
+                if m[4]:
+                    font = by_font.get(m[4])
+                elif m[1]:
+                    text += [_pdf_string(t, font) for t in _PDF_STRING.findall(m[1])]
                 elif m[3] or not re.match(rb"-?[\d.]+\s+-?0*\.?0*\s+T", m[2]):
                     text.append("\n")
         lines = [x.strip() for x in "".join(text).split("\n")]
