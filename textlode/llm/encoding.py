@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlode.session import ship
+
 #: Tokens that the classifier is fitted on at most: the commonest of all tokens with characters beyond ASCII.
 TOKENS = 50_000
 BUCKETS = 1 << 15
@@ -305,6 +307,7 @@ def garbled(df: DataFrame, row_id: str, text: str, model: Model | None = None) -
     the text with each token put right where that is possible. Null, empty and correct rows don't come out. Repeated rows come out each. A table
     without a garbled row gives none.
     """
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model or fit_table(df, text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textlode.session import ship
+
 LIMIT, OVERLAP = 1500, 100
 
 #: Boundaries from strong to weak; a cut falls at the end of a match.
@@ -86,6 +88,7 @@ def split_oversized(df: DataFrame, row_id: str, text: str, limit: int = LIMIT, o
         raise ValueError("overlap must be at least 0 and below limit")
     if limit - overlap < 2:
         raise ValueError("limit must exceed overlap by two or more")
+    ship(df.sparkSession)
     key = df.schema[row_id]
     schema = T.StructType([T.StructField("row_id", key.dataType)])
     for name in ("piece_no", "n_pieces", "start", "core", "end"):

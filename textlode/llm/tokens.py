@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlode.session import ship
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: How the tokenizer cuts a text before merging bytes; a fixed value of the vocabulary.
@@ -41,6 +43,7 @@ class _Counts(dict):
 
 def count_tokens(df: DataFrame, row_id: str, text: str, vocabulary: str = VOCABULARY, extra: tuple[str, ...] = ()) -> DataFrame:
     """``(row_id, *extra, n_tokens)`` of every row; a null text has 0 tokens."""
+    ship(df.sparkSession)
     fields = [df.schema[c] for c in (row_id, *extra)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens int"
 
