@@ -205,6 +205,25 @@ def test_streams_are_told_apart(spark, tmp_path):
         for _ in range(2):
             ingest_stream(source, store, "ann", "c", HashingEmbedder(8), str(tmp_path / f"c{name}")).awaitTermination()
     assert sorted(r["file_id"] for r in store.read().collect()) == ["a", "b"]
+    done = store._state(store.version())["done"]
+    assert len(done) == 2 and all(len(name) == 36 for name in done)  # by query id
+    # a batch that was published before the stream could note it isn't published again
+    name, version = next(iter(done)), store.version()
+    assert store.append(_records(spark, {"z": ["again"]}), name, 0) == version
+
+
+def test_searches_of_files_open_their_buckets_only(spark, tmp_path):
+    """Equality and lists of file ids become partition filters of the scan, and filters that Parquet skips row groups by."""
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=16)
+    ingest(store, _records(spark, {f"f{i}": ["some text"] for i in range(60)}), "ann", "c1")
+    whole = store.read()._jdf.queryExecution().executedPlan().toString()
+    for ids in (["f7"], ["f7", "f8"]):
+        df = store.of_files(ids)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "_bucket" in filters and "_bucket" not in whole.split("PartitionFilters: [")[1].split("]")[0]
+        assert "file_id" in plan.split("PushedFilters: [")[1].split("]")[0]
+        assert df.count() == len(ids)
 
 
 def test_dedup_profile_replaces_by_store_id(spark, tmp_path):

@@ -6,12 +6,13 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlode.functions.text import clean_text, digest
 from textlode.operators.skew import rank_within
+from textlode.session import ship
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1500, 100
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -64,6 +65,9 @@ def chunks_of(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
     """The chunks of each text as an array, by an Arrow-batched function."""
     if not 0 <= overlap <= size or size < 1:
         raise ValueError("the overlap must not exceed the chunk size")
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship(session)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
