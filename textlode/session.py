@@ -69,13 +69,14 @@ def intermediate(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and the files outlive any executor. They stay until the
-    innermost ``intermediate`` block ends, or for good outside of one (a temporary folder goes with the process)."""
+    innermost ``intermediate`` block ends, or for good outside of one (a temporary folder goes with the process). Filters on the columns ``by``, of few
+    values, then read the files of those values only."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}.parquet"
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
