@@ -301,6 +301,57 @@ def test_the_ranker_tells_misread_words_from_rare_ones():
     assert wrong.mean() < 0.03
 
 
+def test_all_words_of_the_table_take_part_in_the_fits(spark, monkeypatch):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("bdfgklmprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)})
+    compounds = [f"{a}-{b}" for a, b in zip(words[:60], words[60:])]
+    text = " ".join(w for w in words for _ in range(25)) + " " + " ".join(compounds * 6)
+    df = spark.createDataFrame([(k, text, None) for k in range(2)], "record_id long, page_content string, metadata string")
+    listed = [(w, 50 + 12 * (k < 120)) for k, w in enumerate(words)]
+    seen = {}
+    monkeypatch.setattr(scans, "WORDS", 150)  # a bound far below the number of words
+    monkeypatch.setattr(scans, "misread_words", lambda counts, ranker: seen.update(ranker=ranker) or counts)
+    monkeypatch.setattr(scans, "furniture", lambda edges, weights, often: seen.update(header=weights[0], often=often) or edges)
+    monkeypatch.setattr(scans, "cuts", lambda parsed, counts, weights: seen.update(joins=weights) or parsed)
+    scans.analyse(df, "record_id", "page_content", "metadata")
+    assert seen["often"] == Counter(g for w, _ in listed for g in scans._grams(scans.core(w)))
+    want = scans.Ranker(listed).logs
+    assert seen["ranker"].logs.keys() == want.keys() and all(abs(seen["ranker"].logs[p] - v) < 1e-4 for p, v in want.items())
+    bad = [(b, w) for w in words if (b := scans.misread(w, rng)) and b != w]
+    score = seen["ranker"].score([b for b, _ in bad], [w for _, w in bad], np.full(len(bad), 2.0), np.full(len(bad), 50.0))
+    assert (score >= 0.5).mean() > 0.95 and seen["joins"].shape == (9,) and seen["header"].shape == (8,)
+
+    made = []
+    stage = scans.stage
+    monkeypatch.setattr(scans, "stage", lambda rows, *by: made.append(stage(rows, *by)) or made[-1])
+    counts = spark.createDataFrame([*listed, *((c, 12) for c in compounds)], "w string, n long")
+    first = scans.fit_words(counts)
+    rows = made[0].where("what = 'cut'").collect()
+    assert {r["words"][0] for r in rows if r["y"]} - {None} <= set(words) and {r["words"][1] for r in rows if r["y"]} <= {w[:k] for w in words for k in range(2, 8)}
+    assert sum(r["y"] for r in rows) == len(words) and {r["words"][3] for r in rows} >= set(compounds)
+    misread = made[0].where("what = 'misread'").count()
+    assert misread > 10 * len(words) and made[0].where("what = 'header'").groupBy().sum("n").first()[0] > 7 * len(words)
+    again = scans.fit_words(counts.repartition(7))
+    assert again[0].trees.fitted == first[0].trees.fitted and (again[1] == first[1]).all() and (again[2] == first[2]).all() and again[3] == first[3]
+
+
+def test_counted_rows_fit_as_repeated_ones_do():
+    rng = np.random.default_rng(2)
+    x, n = rng.integers(0, 6, (300, 3)).astype("f8"), rng.integers(1, 5, 300)
+    y = ((x[:, 0] > 2) & (x[:, 1] > 1) | (rng.random(300) < 0.1)).astype("f8")
+    often = np.repeat(np.arange(300), n)
+    cuts = [np.arange(5.0)] * 3
+    one = scans.Boosted().fit_counted(scans.binned(x, cuts), y, n.astype("f8"), cuts)
+    all_rows = scans.Boosted().fit_counted(scans.binned(x[often], cuts), y[often], np.ones(len(often)), cuts)
+    assert np.allclose(one.score(x), all_rows.score(x))
+    assert np.allclose(scans.logistic(x, y, n=n.astype("f8")), scans.logistic(x[often], y[often]))
+    for values in (rng.normal(0, 3, 5001), rng.integers(0, 4, 700).astype("f8"), np.log1p(rng.integers(0, 300, 999)), np.array([2.5])):
+        steps = np.stack(np.unique(np.floor(values * scans.GRID), return_counts=True), 1)
+        some = values[np.isin(np.floor(values * scans.GRID), scans._steps_of_quantiles(steps))]
+        got = scans._quantiles(steps, np.stack(np.unique(some, return_counts=True), 1))
+        assert np.allclose(got, np.unique(np.quantile(values, np.linspace(0.05, 0.95, scans.CUTS))), rtol=0, atol=1e-12)
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((600, 3))

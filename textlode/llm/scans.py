@@ -1,6 +1,6 @@
 """Traces of scanning in the pages of files, and their repair.
 
-Three learned parts, all fitted here on synthetic damage of the table's own words (bounded samples of the word list):
+Three learned parts, all fitted here on synthetic damage of all words and compounds of the table that are common enough:
 
 * candidates for misread words come from an inverted join on character q-grams of shape-folded words; gradient-boosted
   trees rank them against the word as it stands;
@@ -33,8 +33,11 @@ LOOK_ALIKES = [
 ]
 #: Signs that end a cut word.
 HYPHENS = "-‐‑¬­"
-#: Word list entries used to fit the classifiers, at most.
+#: Words whose synthetic damage is made in one group of rows; a longer word list gives more groups.
 WORDS = 3000
+#: Steps to a unit on which features are counted for the fits.
+GRID = 256
+SEED = 5
 LEAST_COUNT = 5  # occurrences of a word that may be a correction
 TOUCHED = 3  # q-grams that one letter is part of
 
@@ -122,6 +125,15 @@ def _explain(word: str, read: str) -> tuple[int, int]:
     return best[n][m][1:]
 
 
+#: Places, at most, where trees divide a feature.
+CUTS = 24
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """For each feature the number of ``cuts`` below it."""
+    return np.stack([np.searchsorted(points, x[:, k]) for k, points in enumerate(cuts)], 1).astype("u1")
+
+
 class Boosted:
     """Gradient-boosted trees of depth three for two classes, small enough to fit and send anywhere."""
 
@@ -129,32 +141,34 @@ class Boosted:
         self.trees, self.depth, self.rate, self.fitted = trees, depth, rate, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        cuts = [np.unique(np.quantile(x[:, k], np.linspace(0.05, 0.95, 24))) for k in range(x.shape[1])]
+        cuts = [np.unique(np.quantile(x[:, k], np.linspace(0.05, 0.95, CUTS))) for k in range(x.shape[1])]
+        return self.fit_counted(binned(x, cuts), y, np.ones(len(y)), cuts)
+
+    def fit_counted(self, bins: np.ndarray, y: np.ndarray, n: np.ndarray, cuts: list[np.ndarray]) -> Boosted:
+        """Fit to rows of which each counts ``n`` times and has, for each feature, the number of ``cuts`` that lie below it."""
+        columns = np.ascontiguousarray(bins.T)
         f = np.zeros(len(y))
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-f))
-            g, h = y - p, p * (1 - p)
+            g, h = n * (y - p), n * p * (1 - p)
 
             def grow(at: np.ndarray, depth: int) -> tuple:
-                leaf = float(g[at].sum() / (h[at].sum() + 1.0))
-                if depth == 0 or len(at) < 10:
-                    return (leaf,)
+                ga, ha = g[at].sum(), h[at].sum()
                 gain, pick = 1e-6, None
-                for k, points in enumerate(cuts):
-                    side = x[at, k][:, None] <= points
-                    gl, hl = g[at] @ side, h[at] @ side
-                    ga, ha = g[at].sum(), h[at].sum()
+                for k, points in enumerate(cuts if depth and n[at].sum() >= 10 else ()):
+                    b = columns[k][at]
+                    gl, hl = (np.bincount(b, v[at], len(points) + 1).cumsum()[:-1] for v in (g, h))
                     gains = gl**2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga**2 / (ha + 1)
-                    if len(points) and gains.max() > gain:
-                        gain, pick = float(gains.max()), (k, float(points[gains.argmax()]))
+                    # of cuts that divide the rows alike the first, whatever the last digits of their sums are
+                    if len(points) and gains.max() > gain * (1 + 1e-9):
+                        gain, pick = float(gains.max()), (k, int((gains >= gains.max() * (1 - 1e-9)).argmax()))
                 if pick is None:
-                    return (leaf,)
-                left = x[at, pick[0]] <= pick[1]
-                return (*pick, grow(at[left], depth - 1), grow(at[~left], depth - 1))
+                    f[at] += self.rate * ga / (ha + 1.0)
+                    return (float(ga / (ha + 1.0)),)
+                left = columns[pick[0]][at] <= pick[1]
+                return (pick[0], float(cuts[pick[0]][pick[1]]), grow(at[left], depth - 1), grow(at[~left], depth - 1))
 
-            tree = grow(np.arange(len(y)), self.depth)
-            self.fitted.append(tree)
-            f += self.rate * self._one(tree, x)
+            self.fitted.append(grow(np.arange(len(y)), self.depth))
         return self
 
     def _one(self, tree: tuple, x: np.ndarray) -> np.ndarray:
@@ -166,13 +180,13 @@ class Boosted:
         return 1 / (1 + np.exp(-sum(self.rate * self._one(t, x) for t in self.fitted)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights (the last for the constant) by regularised Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, n: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last for the constant) by regularised Newton steps; ``n`` tells how often each row counts."""
+    x, n = np.c_[x, np.ones(len(x))], np.ones(len(x)) if n is None else n
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), x.T @ (y - p) - 0.01 * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), x.T @ (n * (y - p)) - 0.01 * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -189,8 +203,9 @@ def _chance(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Ranker:
     """Trees over pairs of a word as it stands and a candidate, and the letter pairs of the words they were fitted on."""
 
-    def __init__(self, words: list[tuple[str, int]]) -> None:
-        seen: Counter = Counter()
+    def __init__(self, words: list[tuple[str, int]], seen: dict[str, float] | None = None) -> None:
+        """``seen`` has the letter pairs of words where they are counted already."""
+        seen = Counter(seen or {})
         for w, n in words:
             for pair in self._pairs(w):
                 seen[pair] += n**0.5
@@ -198,7 +213,7 @@ class Ranker:
         for pair, n in seen.items():
             first[pair[0]] += n
         self.logs = {pair: float(np.log((n + 0.05) / (first[pair[0]] + 2.0))) for pair, n in seen.items()}
-        self.trees = Boosted(trees=0)
+        self.trees = Boosted(trees=60, depth=4)
 
     @staticmethod
     def _pairs(word: str) -> list[str]:
@@ -242,10 +257,10 @@ def misread(word: str, rng: random.Random) -> str | None:
     return word
 
 
-def fit_ranker(words: list[tuple[str, int]], seed: int = 5) -> Ranker:
-    """Trees that tell a misread word's true candidate from others, and misread words from correct ones."""
-    rng, ranker = random.Random(seed), Ranker(words)
-    letters = sorted({c for w, _ in words for c in w}) or ["a"]
+def damaged(words: list[tuple[str, int]], letters: list[str], seed: int) -> tuple[list[str], list[str], list[float], list[float], list[int]]:
+    """(words as read, candidates, counts of both, labels): pairs from which trees learn to tell a misread word's true candidate from others, and
+    misread words from correct ones."""
+    rng = random.Random(seed)
     by_gram: dict[str, list[tuple[str, int]]] = {}
     for w, n in words:
         for g in _grams(core(w)):
@@ -278,9 +293,15 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 5) -> Ranker:
                 add(turned, w, seen, n, 0)
         if rng.random() < 0.5:
             add(w + rng.choice("0123456789!"), w + rng.choice(letters), 1, max(5, seen), 0)
-    if len(set(y)) < 2:
-        return ranker
-    ranker.trees = Boosted(trees=60, depth=4).fit(ranker.features(r, c, np.array(nr, "f8"), np.array(nc, "f8")), np.array(y, "f8"))
+    return r, c, nr, nc, y
+
+
+def fit_ranker(words: list[tuple[str, int]], seed: int = SEED) -> Ranker:
+    """The ranker of a list of words."""
+    ranker = Ranker(words)
+    r, c, nr, nc, y = damaged(words, sorted({c for w, _ in words for c in w}) or ["a"], seed)
+    if len(set(y)) > 1:
+        ranker.trees.fit(ranker.features(r, c, np.array(nr, "f8"), np.array(nc, "f8")), np.array(y, "f8"))
     return ranker
 
 
@@ -350,31 +371,25 @@ def join_features(sign: list[str], joined: np.ndarray, left: np.ndarray, right:
     return np.c_[soft, j, np.minimum(a, b), c, j > np.minimum(a, b), lower, end, (j > 0) & (j > c)]
 
 
-def fit_joins(words: list[tuple[str, int]], compounds: list[tuple[str, int]], seed: int = 5) -> np.ndarray:
-    """Weights of the classifier of line pairs, from words cut anywhere and compounds cut at their own hyphen."""
-    rng, known = random.Random(seed), dict(words) | dict(compounds)
-    rows, y = [], []
-    for w, n in words:
+def cut_words(words: list[tuple[str, int]], compounds: list[tuple[str, int]], often: int, seed: int) -> list[tuple]:
+    """Line ends and what follows, from words cut anywhere, compounds cut at their own hyphen and dashes between words: (sign; the words joined,
+    left, right and compound, None for those that aren't there; lower case, end of the page; label, how often it counts). A compound counts ``often`` times."""
+    rng, rows = random.Random(seed), []
+    for w, _ in words:
         if len(w) < 5:
             continue
         at = rng.randrange(2, len(w) - 1)
         sign, end = rng.choice("-‐‑¬­"), rng.random() < 0.3
         unseen = rng.random() < 0.4  # the rest is on a page that isn't there
-        rows.append((sign, 0 if unseen and end else n, known.get(w[:at], 0), 0 if unseen and end else known.get(w[at:], 0), 0, 0.0 if unseen and end else 1.0, float(end)))
-        y.append(1)
-    for w, n in compounds:
+        asked = [None, w[:at], None, None] if unseen and end else [w, w[:at], w[at:], f"{w[:at]}-{w[at:]}"]
+        rows.append((sign, asked, 0.0 if unseen and end else 1.0, float(end), 1, 1))
+    for w, _ in compounds:
         a, _, b = w.partition("-")
-        for _ in range(max(1, len(words) // (4 * max(1, len(compounds))))):
-            rows.append(("-", known.get(a + b, 0), known.get(a, 0), known.get(b, 0), n, 1.0, 0.0))
-            y.append(0)
+        rows.append(("-", [a + b, a, b, w], 1.0, 0.0, 0, often))
     for k in range(len(words) // 2):  # a dash between whole words
-        (a, na), (b, nb) = rng.choice(words), rng.choice(words)
-        rows.append(("-", known.get(a + b, 0), na, nb, known.get(f"{a}-{b}", 0), float(k % 2), 0.0))
-        y.append(0)
-    if not rows:
-        return np.zeros(9)
-    sign, *rest = zip(*rows)
-    return logistic(join_features(list(sign), *(np.array(v) for v in rest)), np.array(y, "f8"))
+        (a, _), (b, _) = rng.choice(words), rng.choice(words)
+        rows.append(("-", [a + b, a, b, f"{a}-{b}"], float(k % 2), 0.0, 0, 1))
+    return rows
 
 
 _NO_WORD = re.compile(r"[\W\d_]+")
@@ -512,24 +527,24 @@ def _weigh(weights: np.ndarray, features: list) -> Column:
     return sum((F.lit(float(w)) * x for w, x in zip(weights, features)), F.lit(float(weights[-1])))
 
 
-def fit_furniture(words: list[tuple[str, int]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the classifiers of line pairs, for headers and for page numbers, from pairs of lines made of ``words``."""
+def line_pairs(words: list[tuple[str, int]], seed: int) -> Counter:
+    """Features and label of pairs of lines made of ``words``, with how often they occur; every word begins one at least."""
     rng = random.Random(seed)
     pool = [w for w, _ in words] + ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(4, 11))) for _ in range(max(0, 50 - len(words)))]
-    rows, y = [], []
+    rows: Counter = Counter()
 
     def add(a: str, b: str, place: float, step: float, ends: float, label: int, alone: float = 0.0) -> None:
         a, b = line_shape(a), line_shape(b)
         if not a or not b:
             return
         x, z = set(_grams(a)), set(_grams(b))
-        rows.append((len(x & z) / len(x | z), len(x ^ z), place, step, ends, alone, float(len(a)))), y.append(label)  # noqa: PLW0106
+        rows[len(x & z) / len(x | z), float(len(x ^ z)), place, step, ends, alone, float(len(a)), float(label)] += 1
 
     def flag(p: float) -> float:
         return float(rng.random() < p)
 
-    for _ in range(WORDS):
-        title = [rng.choice(pool) for _ in range(rng.randrange(1, 7))]
+    for k in range(max(WORDS, len(pool))):
+        title = [pool[k % len(pool)], *(rng.choice(pool) for _ in range(rng.randrange(6)))]
         line = " ".join(title)
         add(line, line.upper(), flag(0.8), flag(0.4), 0.0, 1)  # the same on another page,
         at = rng.randrange(len(line))
@@ -546,20 +561,28 @@ def fit_furniture(words: list[tuple[str, int]], seed: int = 5) -> tuple[np.ndarr
         long = [*title, *(rng.choice(pool) for _ in range(4))]  # and stretches of the same text
         add(" ".join(long[:-1]), " ".join(long[rng.randrange(2) :]), flag(0.3), flag(0.02), flag(0.2), 0)
         add(line, " ".join(rng.choice(pool) for _ in title), flag(0.3), flag(0.02), flag(0.2), 0)
+    return rows
+
+
+def fit_headers(pairs: Counter) -> np.ndarray:
+    """Weights of the classifier of line pairs for headers."""
+    rows = sorted(pairs)
     x = np.array(rows, "f8")
-    header = logistic(np.stack(header_features(*x.T), 1), np.array(y, "f8"))
+    return logistic(np.stack(header_features(*x[:, :-1].T), 1), x[:, -1], n=np.array([pairs[r] for r in rows], "f8"))
+
 
-    rows, y = [], []
-    for _ in range(WORDS // 10):
+def fit_numbers(seed: int = SEED) -> np.ndarray:
+    """Weights of the classifier of line pairs for page numbers, from the ways in which lines with numbers are set."""
+    rng, rows, y = random.Random(seed), [], []
+    for _ in range(300):
         for alone, beside, off in ((1, 0, 0), (1, 0, 1), (0, 1, 0), (0, 1, 1), (0, 0, 1)):
             rows.append((1, alone, beside, off)), y.append(1)  # printed on two pages  # noqa: PLW0106
             if (alone, off) != (1, 1):  # the same kinds of line, with numbers that don't follow the pages
                 rows.append((0, alone, beside, off)), y.append(0)  # noqa: PLW0106
         rows.append((0, 1, 0, 1)), y.append(1)  # one page only, set like a page number  # noqa: PLW0106
-        rows += [(int(flag(0.3)), 0, 0, 0), (0, 0, 0, 0)]  # in the text
+        rows += [(int(rng.random() < 0.3), 0, 0, 0), (0, 0, 0, 0)]  # in the text
         y += [0, 0]
-    x = np.array(rows, "f8")
-    return header, logistic(np.stack(number_features(*x.T), 1), np.array(y, "f8"))
+    return logistic(np.stack(number_features(*np.array(rows, "f8").T), 1), np.array(y, "f8"))
 
 
 def _near(shapes: DataFrame, pair: Callable[..., Column], weights: np.ndarray, often: Counter) -> DataFrame:
@@ -697,6 +720,153 @@ def cuts(parsed: DataFrame, counts: DataFrame, weights: np.ndarray) -> DataFrame
     return scored.groupBy("record_id", "text").agg(F.max(F.struct("score", "joined")).alias("b")).select("record_id", "text", F.col("b.joined").alias("joined"))
 
 
+# ---------------------------------------------------------------- fits
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Letter pairs (by the root of the word's count, in whole parts of 2^20, so that no order of adding matters), q-grams of shapes, words and compounds."""
+    out: Counter = Counter()
+    for batch in batches:
+        for w, n in zip(batch["w"], batch["n"]):
+            out["compounds" if "-" in w else "words", ""] += 1
+            if "-" not in w:
+                for pair in Ranker._pairs(w):
+                    out["pair", pair] += round(n**0.5 * 2**20)
+                for g in _grams(core(w)):
+                    out["gram", g] += 1
+    yield pd.DataFrame([(*key, v) for key, v in out.items()], columns=["what", "t", "v"])
+
+
+_MADE = "what string, t long, x array<double>, y double, n long, words array<string>"
+
+
+def _made(words: list[tuple[str, int]], compounds: list[tuple[str, int]], ranker: Ranker, letters: list[str], often: int, group: int) -> pd.DataFrame:
+    """What the classifiers are fitted to, of a group of words: features of damaged words ("misread") and on which steps of ``GRID`` they lie ("value": number of
+    the feature, step), pairs of lines ("header"), and cut words, whose counts are yet to be looked up ("cut")."""
+    rows: list[tuple] = []
+    r, c, nr, nc, y = damaged(words, letters, SEED + group)
+    if y:
+        x = ranker.features(r, c, np.array(nr, "f8"), np.array(nc, "f8"))
+        rows += [("misread", 0, v, float(label), 1, None) for v, label in zip(x, y)]
+        for k in range(x.shape[1]):
+            rows += [("value", 0, [float(k), v], 0.0, int(n), None) for v, n in zip(*np.unique(np.floor(x[:, k] * GRID), return_counts=True))]
+    rows += [("header", 0, key[:-1], key[-1], n, None) for key, n in line_pairs(words, SEED + group).items()]
+    for k, (sign, asked, lower, end, label, n) in enumerate(cut_words(words, compounds, often, SEED + group)):
+        rows.append(("cut", group << 32 | k, [float(sign in "¬­"), lower, end], float(label), n, asked))
+    return pd.DataFrame(rows, columns=["what", "t", "x", "y", "n", "words"])
+
+
+def _cut_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out: Counter = Counter()
+    for b in batches:
+        if len(b):
+            soft, lower, end = np.stack(b["x"].to_list()).T
+            v = [b[c].fillna(0).to_numpy("f8") for c in ("n_joined", "n_left", "n_right", "n_compound")]
+            x = np.round(join_features(["¬" if s else "-" for s in soft], *v, lower, end) * GRID) / GRID
+            for row, y, n in zip(map(tuple, x.tolist()), b["y"], b["n"]):
+                out[row, y] += n
+    yield pd.DataFrame([(list(x), y, n) for (x, y), n in out.items()], columns=["x", "y", "n"])
+
+
+def fit_words(counts: DataFrame) -> tuple[Ranker, np.ndarray, np.ndarray, Counter]:
+    """The ranker of misread words, the weights of the classifiers of joins and headers, and how often words have each q-gram.
+
+    All words that occur ``4 * LEAST_COUNT`` times and all compounds that occur ``LEAST_COUNT`` times take part: their letter pairs and q-grams are counted,
+    and groups of about ``WORDS`` of them make the rows to fit to, on the executors. Only the rows with how often they occur come to the driver: for
+    the trees as the places of the features between the cuts, which is all that trees use of them; for joins on steps of ``GRID``.
+    """
+    spark = counts.sparkSession
+    plain = F.col("w").rlike(r"^\p{L}{3,}$") & (F.col("n") >= 4 * LEAST_COUNT)
+    listed = counts.where(plain | (F.col("w").rlike(r"^\p{L}+-\p{L}+$") & (F.col("n") >= LEAST_COUNT)))
+    tally: dict[str, dict[str, int]] = {"pair": {}, "gram": {}, "words": {}, "compounds": {}}
+    for row in listed.mapInPandas(_tally, "what string, t string, v long").groupBy("what", "t").agg(F.sum("v").alias("v")).collect():
+        tally[row["what"]][row["t"]] = row["v"]
+    ranker = Ranker([], {pair: v / 2**20 for pair, v in sorted(tally["pair"].items())})
+    n_words, n_compounds = tally["words"].get("", 0), tally["compounds"].get("", 0)
+    if not n_words + n_compounds:
+        return ranker, np.zeros(9), fit_headers(line_pairs([], SEED)), Counter()
+    letters = sorted({pair[1] for pair in tally["pair"]} - {"$"}) or ["a"]
+    groups, often = max(1, -(-n_words // WORDS)), max(1, n_words // (4 * max(1, n_compounds)))
+    model = spark.sparkContext.broadcast((ranker, letters))
+
+    def make(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["h", "w"])
+        both = list(zip(part["w"], part["n"].tolist()))
+        return _made([x for x in both if "-" not in x[0]], [x for x in both if "-" in x[0]], *model.value, often, int(key[0]))
+
+    named = listed.withColumn("h", F.xxhash64("w")).withColumn("group", F.pmod("h", F.lit(groups)))
+    made = stage(named.groupBy("group").applyInPandas(make, _MADE), "what")
+    x, y, n = _columns(made.where("what IN ('value', 'header')"))
+    headers = Counter({(*a, b): int(c) for a, b, c in zip(x, y, n) if len(a) == 7})
+    values = np.array([(*a, c) for a, c in zip(x, n) if len(a) == 2]).reshape(-1, 3)
+
+    words = ["n_joined", "n_left", "n_right", "n_compound"]
+    asked = made.where("what = 'cut'").select("t", "x", "y", "n", F.posexplode("words").alias("at", "w")).where("w IS NOT NULL")
+    found = asked.join(counts.withColumnRenamed("n", "has"), "w", "left").groupBy("t")
+    found = found.agg(*[F.first(c).alias(c) for c in ("x", "y", "n")], *[F.max(F.when(F.col("at") == k, F.col("has"))).alias(c) for k, c in enumerate(words)]).drop("t")
+    x, y, n = _columns(found.mapInPandas(_cut_features, "x array<double>, y double, n long"))
+    joins = logistic(np.array(x, "f8"), y, n=n) if len(y) else np.zeros(9)
+
+    if len(values):
+        steps = [values[values[:, 0] == k, 1:] for k in range(int(values[:, 0].max()) + 1)]
+        asked = [_steps_of_quantiles(v) for v in steps]
+
+        def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x = np.stack(b["x"].to_list())
+                    some = [np.unique(v[np.isin(np.floor(v * GRID), near)], return_counts=True) for v, near in zip(x.T, asked)]
+                    yield pd.DataFrame([([float(k), v], 0.0, n) for k, (vs, ns) in enumerate(some) for v, n in zip(vs.tolist(), ns.tolist())], columns=["x", "y", "n"])
+
+        x, _, n = _columns(made.where("what = 'misread'").mapInPandas(fetch, "x array<double>, y double, n long"))
+        exact = np.array([(*a, c) for a, c in zip(x, n)])
+        cuts = [_quantiles(v, exact[exact[:, 0] == k, 1:]) for k, v in enumerate(steps)]
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"b": [row.tobytes() for row in binned(np.stack(b["x"].to_list()), cuts)], "y": b["y"]})
+
+        placed = made.where("what = 'misread'").mapInPandas(place, "b binary, y double")
+        placed = placed.groupBy("b", "y").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("b", "ascending"), ("y", "ascending")])
+        bins = np.frombuffer(b"".join(placed["b"].to_pylist()), "u1").reshape(-1, len(cuts))
+        y, n = placed["y"].to_numpy(), placed["n"].to_numpy().astype("f8")
+        if 0 < y.sum() < len(y):
+            ranker.trees.fit_counted(bins, y, n, cuts)
+    return ranker, joins, fit_headers(headers if n_words else line_pairs([], SEED)), Counter(tally["gram"])
+
+
+def _columns(rows: DataFrame) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """(x, y, n) of the different rows in order, with ``n`` summed."""
+    found = sorted((tuple(r["x"]), r["y"], r["n"]) for r in rows.groupBy("x", "y").agg(F.sum("n").alias("n")).collect())
+    return [x for x, _, _ in found], np.array([y for _, y, _ in found], "f8"), np.array([n for *_, n in found], "f8")
+
+
+def _ranks(total: float) -> np.ndarray:
+    """Places of the quantiles among ``total`` values in order, whole and fractional ones."""
+    return np.linspace(0.05, 0.95, CUTS) * (total - 1)
+
+
+def _steps_of_quantiles(steps: np.ndarray) -> np.ndarray:
+    """Of ``steps`` in order (step, how often), those that hold a value on either side of a quantile."""
+    below, at = steps[:, 1].cumsum(), np.floor(_ranks(steps[:, 1].sum()))
+    return np.unique(steps[np.searchsorted(below, np.r_[at, np.minimum(at + 1, below[-1] - 1)], "right"), 0])
+
+
+def _quantiles(steps: np.ndarray, exact: np.ndarray) -> np.ndarray:
+    """The quantiles of all values, as ``np.quantile`` has them, from ``steps`` and the ``exact`` values (value, how often) of ``_steps_of_quantiles``, both in order."""
+    below = dict(zip(steps[:, 0], steps[:, 1].cumsum() - steps[:, 1]))
+    of = np.floor(exact[:, 0] * GRID)
+    inside = exact[:, 1].cumsum() - exact[:, 1]  # values of exact before this one, then those of its own step alone, and of all steps before
+    first = inside[np.searchsorted(of, of)]
+    place = np.array([below[v] for v in of]) + inside - first
+    at = _ranks(steps[:, 1].sum())
+    low = np.floor(at)
+    a, b = (exact[np.searchsorted(place, v, "right") - 1, 0] for v in (low, np.minimum(low + 1, steps[:, 1].sum() - 1)))
+    t = at - low
+    return np.unique(np.where(t < 0.5, a + (b - a) * t, b - (b - a) * (1 - t)))
+
+
 def analyse(df: DataFrame, row_id: str, text: str, metadata: str) -> dict[str, DataFrame]:
     """The parts from which traces are reported and repaired: ``parsed`` pages, word ``counts`` of all rows, ``misread``
     words with corrections, ``furniture`` lines and ``cuts``."""
@@ -704,16 +874,13 @@ def analyse(df: DataFrame, row_id: str, text: str, metadata: str) -> dict[str, D
     parsed = stage(_texts(df, row_id, text, metadata).mapInPandas(_parse, schema), "what")
     counts = stage(parsed.where("what = 'count'").groupBy(F.col("text").alias("w")).agg(F.sum(F.col("at").cast("long")).alias("n")))
     parsed = parsed.where("what <> 'count'")
-    plain = counts.where(F.col("w").rlike(r"^\p{L}{3,}$") & (F.col("n") >= 4 * LEAST_COUNT))
-    words = [(r["w"], r["n"]) for r in plain.orderBy(F.xxhash64("w")).limit(WORDS).collect()]
-    whole = counts.where(F.col("w").rlike(r"^\p{L}+-\p{L}+$") & (F.col("n") >= LEAST_COUNT))
-    compounds = [(r["w"], r["n"]) for r in whole.orderBy(F.xxhash64("w")).limit(WORDS // 4).collect()]
+    ranker, joins, headers, grams = fit_words(counts)
     return {
         "parsed": parsed,
         "counts": counts,
-        "misread": stage(misread_words(counts, fit_ranker(words))),
-        "furniture": furniture(parsed.where("what = 'edge'"), fit_furniture(words), Counter(g for w, n in words for g in _grams(core(w)))),
-        "cuts": cuts(parsed, counts, fit_joins(words, compounds)),
+        "misread": stage(misread_words(counts, ranker)),
+        "furniture": furniture(parsed.where("what = 'edge'"), (headers, fit_numbers()), grams),
+        "cuts": cuts(parsed, counts, joins),
     }
 
 
